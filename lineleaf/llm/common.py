@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,6 +92,15 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a table into the checkpoint folder and read again; smaller than checkpoint()."""
+    spark = prepare(df.sparkSession)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/lineleaf-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component) with the smallest id reachable.
 
