@@ -13,17 +13,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 #: Rows that go to a Python worker at once. Texts may be long, so batches are also bounded in bytes.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches and makes sure that there is a checkpoint folder.
+    """Ships the package, bounds the Arrow batches, and makes sure that there is a checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used where it is set; only without it (single
     machine, tests) a temporary one is made.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
