@@ -1,4 +1,7 @@
 """All registered queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import catalog
+
+THEMES = (catalog,)
+QUERIES = {name: query for theme in THEMES for name, query in theme.QUERIES.items()}
+ORACLE_SQL = {name: sql for theme in THEMES for name, sql in theme.ORACLE_SQL.items()}
