@@ -95,36 +95,92 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows written as a table into the checkpoint folder and read again; smaller than checkpoint()."""
     spark = prepare(df.sparkSession)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/lineleaf-{uuid.uuid4().hex}"
+    if scratch is not None:
+        scratch.folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        return written(df, self)
+
+    def __exit__(self, *_: object) -> None:
+        context = self.spark.sparkContext
+        for path in self.folders:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Edges that one task joins to a forest in memory.
+FOREST_EDGES = 400_000
+
+
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (a, b), b the smallest id, of the components of a partition's edges."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (y := up.setdefault(root, root)) != root:
+            root = y
+        while (y := up[x]) != root:
+            up[x] = root
+            x = y
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    stars = [(x, find(x)) for x in list(up)]
+    stars = [s for s in stars if s[0] != s[1]]
+    for at in range(0, len(stars), 100_000):
+        a, b = zip(*stars[at : at + 100_000])
+        yield batch_of({"a": a, "b": b}, {"a": pa.int64(), "b": pa.int64()})
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component) with the smallest id reachable.
 
-    Alternates large-star and small-star: every round is two shuffles on the edges that are left, the
-    number of rounds is logarithmic, and the edges are written to the checkpoint folder after each,
-    so a lost executor costs one round. A vertex of very high degree is the centre of a star, and stars
-    are aggregated with partial minima and joined, never gathered.
+    Partitions of at most ``FOREST_EDGES`` edges are joined to forests each, which shrinks the edges; if
+    there was more than one partition, large-star and small-star rounds follow: each is a few shuffles on
+    the edges that are left, their number is logarithmic, and the edges are written to the checkpoint
+    folder after each, so a lost executor costs one round. A vertex of very high degree is the centre of a
+    star, and stars are aggregated with partial minima and joined, never gathered.
     """
     spark = prepare(edges.sparkSession)
-    now = (
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
-    before = None
+    with Scratch(spark) as scratch:
+        given = scratch.table(edges.where("a is not null and b is not null and a <> b").select("a", "b"))
+        parts = -(-given.count() // FOREST_EDGES)
+        now = given.coalesce(max(1, parts)).mapInArrow(local_forest, "a long, b long")
+        now = settled_stars(now, most_rounds) if parts > 1 else written(now)
+    stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return stars.union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def settled_stars(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Edges (a, b), b < a, each a once and no b an a, of the same components."""
+    now, before = edges.checkpoint(), None
     for _ in range(most_rounds):
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         mark = (mark["n"], mark["x"])
         if mark == before or not mark[0]:
-            break
+            return now
         before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -145,10 +201,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         now = small.checkpoint()
-    else:
-        raise RuntimeError("the components did not settle")
-    stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    raise RuntimeError("the components did not settle")
 
 
 def tokenizer_path(name: str) -> str:

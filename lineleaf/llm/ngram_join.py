@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, components, map_texts, mixed, prepare, window_hashes, word_hashes
+from .common import Scratch, batch_of, components, map_texts, mixed, prepare, window_hashes, word_hashes, written
 
 BLOCK = 1024
 U = np.uint64
@@ -164,41 +164,38 @@ def divide_skip(
     return out
 
 
-def set_rows(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows (id, n_shingles, s), s the set's name or null for an empty set."""
+def named_sets(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Rows (id, n_shingles, s, null), s the set's name or null for an empty set, one per input row, and
+    rows (null, null, s, g) of the sets' signatures."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            yield batch_of(
-                {"id": batch.column(0), "n_shingles": [len(s) for s in sets], "s": [set_id(s) if len(s) else None for s in sets]},
-                {"n_shingles": pa.int64(), "s": pa.int64()},
-            )
-
-    return map_texts(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n_shingles long, s long")
-
-
-def signature_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, done = Scheme(percent), set()
+        types = {"id": pa.int64(), "n_shingles": pa.int64(), "s": pa.int64(), "g": pa.int64()}
         for batch in batches:
-            names, owners = [], []
-            for text in batch.column(0).to_pylist():
+            ids, sizes, names, owners, signatures = batch.column(0).to_pylist(), [], [], [], []
+            for i, text in zip(ids, batch.column(1).to_pylist()):
                 s = shingles(text, n)
-                if not len(s):
-                    continue
-                own = set_id(s)
-                if own in done:
+                sizes.append(len(s))
+                own = set_id(s) if len(s) else None
+                names.append(own)
+                if own is None or i is None or own in done:
                     continue
                 if len(done) < 200_000:  # equal sets of one task; the others meet in the aggregation
                     done.add(own)
-                sig = scheme.signatures(s)
-                names.append(sig.astype(np.int64))
-                owners.append(np.full(len(sig), own, np.int64))
-            if names:
-                yield batch_of({"g": np.concatenate(names), "s": np.concatenate(owners)}, {"g": pa.int64(), "s": pa.int64()})
-
-    return map_texts(df.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")), run, "g long, s long")
+                signatures.append(scheme.signatures(s).astype(np.int64))
+                owners.append(np.full(len(signatures[-1]), own, np.int64))
+            none = [None] * len(ids)
+            yield batch_of({"id": ids, "n_shingles": sizes, "s": names, "g": none}, types)
+            if owners:
+                g = np.concatenate(signatures)
+                gone = pa.nulls(len(g), pa.int64())
+                yield batch_of({"id": gone, "n_shingles": gone, "s": np.concatenate(owners), "g": g}, types)
+
+    return map_texts(
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
+        run,
+        "id long, n_shingles long, s long, g long",
+    )
 
 
 def verified(rows: DataFrame, n: int, percent: int, cross: bool) -> DataFrame:
@@ -230,10 +227,9 @@ def verified(rows: DataFrame, n: int, percent: int, cross: bool) -> DataFrame:
     return dealt.select("task", "block", "comp", "s", "text").mapInArrow(run, "a long, b long")
 
 
-def links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def links(df: DataFrame, rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Components (id, component) of the sets that link with others, by set names."""
-    spark = prepare(df.sparkSession)
-    signatures = signature_rows(df, id_col, text_col, n, percent)
+    sets, signatures = rows.where("g is null"), rows.where("g is not null").select("g", "s")
     shared = signatures.groupBy("g").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").select("g", "a")
     pairs = signatures.join(shared, "g").where("s <> a").select("a", F.col("s").alias("b")).distinct()
     groups = components(pairs).select(F.col("id").alias("s"), F.col("component").alias("group"))
@@ -245,11 +241,12 @@ def links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, pe
         .select("s", "group", "blocks", "id", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
     )
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    held = texts.join(chosen, "id").select("s", "group", "blocks", "block", "text").checkpoint()
+    held = texts.join(chosen, "id").select("s", "group", "blocks", "block", "text")
+    held = scratch.table(held)
     task = lambda *c: F.xxhash64("group", *c).alias("task")
 
     inner = verified(held.select(task("block"), "block", F.col("s").alias("comp"), "s", "text"), n, percent, False)
-    edges = inner.checkpoint()
+    edges = scratch.table(inner)
     found = components(edges)
     large = held.where("blocks > 1")
     if large.isEmpty():
@@ -271,7 +268,7 @@ def links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, pe
     heads = heads.join(heads.groupBy("comp").agg(F.min("s").alias("s")), ["comp", "s"])
     again = heads.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     heads = heads.join(again, "group").select(task(F.pmod(F.xxhash64("s"), "parts")), "block", "comp", "s", "text")
-    edges = edges.union(verified(heads, n, percent, False)).checkpoint()
+    edges = edges.union(scratch.table(verified(heads, n, percent, False)))
     found = components(edges)
     rest = verified(crossed(labelled(found)), n, percent, True)
     return components(edges.union(rest))
@@ -281,8 +278,11 @@ def similar_documents(
     df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id)."""
-    sets = set_rows(df, id_col, text_col, n)
-    found = links(df, sets, id_col, text_col, n, percent).select(F.col("id").alias("s"), F.col("component").alias("c"))
+    with Scratch(prepare(df.sparkSession)) as scratch:
+        rows = scratch.table(named_sets(df, id_col, text_col, n, percent))
+        sets = written(rows.where("g is null").select("id", "n_shingles", "s"))
+        found = links(df, rows, scratch, id_col, text_col, n, percent)
+    found = found.select(F.col("id").alias("s"), F.col("component").alias("c"))
     named = sets.join(found, "s", "left").select("id", "n_shingles", F.coalesce("c", "s").alias("c"))
     least = named.where("id is not null and c is not null").groupBy("c").agg(F.min("id").alias("least"))
     return named.join(least, "c", "left").select(
