@@ -2,9 +2,10 @@
 
 Two independent codebooks on the halves of the unit vectors span a grid of cells. Each vector lies in one
 cell; as a query it visits cells in the order of their lower distance bound (multi-sequence traversal of
-the two sorted lists of centroids) until no further cell can hold a vector within the cosine limit, which is
-the stop for a target recall of 1; a lower target shrinks the radius. Every meeting is verified in
-double precision.
+the two sorted lists of centroids) up to a bound that is calibrated for the target recall: sample vectors
+are moved to the cosine limit in random directions, and the bound is what the target share of them needs
+to be met, widened by ``WIDER``; a target of 1 takes the bound beyond which no vector within the limit can
+lie. Every meeting is verified in double precision.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, rows with a null
 label or a null id link with nothing (n_links 0, component their own id, kept); vectors of other
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, components, prepare
 
-SAMPLE, BLOCK, PER_CELL, MOST_CENTROIDS, ROUNDS = 10_000, 2048, 64, 256, 12
+SAMPLE, BLOCK, PER_CELL, MOST_CENTROIDS, ROUNDS = 10_000, 2048, 200, 256, 12
+PROBES, WIDER = 20_000, 1.5
 
 
 def unit(raw: bytes) -> np.ndarray | None:
@@ -78,6 +80,22 @@ class Grid:
             out.append((near, np.maximum(0, low) ** 2))
         return out
 
+    def radius(self, sample: np.ndarray, least_cosine: float, target_recall: float) -> float:
+        """The bound up to which cells are visited."""
+        most = 2 * (1 - least_cosine) + 1e-9
+        if target_recall >= 1:
+            return most
+        rng = np.random.default_rng(1)
+        x = sample[rng.integers(len(sample), size=PROBES)]
+        aside = rng.standard_normal(x.shape)
+        aside -= (aside * x).sum(1)[:, None] * x
+        aside /= np.maximum(np.sqrt((aside * aside).sum(1)), 1e-300)[:, None]
+        moved = least_cosine * x + np.sqrt(1 - least_cosine**2) * aside
+        (_, b1), (_, b2) = self.bounds(x)
+        (n1, _), (n2, _) = self.bounds(moved)
+        at = np.arange(len(x))
+        return min(most, WIDER * float(np.quantile(b1[at, n1] + b2[at, n2], target_recall)) + 1e-9)
+
     def visits(self, first: np.ndarray, second: np.ndarray, most: float) -> list[int]:
         """Cells in the order of their bound until it passes ``most``."""
         a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -116,7 +134,7 @@ def linked(members: np.ndarray, ids: np.ndarray, sizes: np.ndarray, queries: np.
 def near_duplicates(
     df: DataFrame,
     least_cosine: float = 0.98,
-    target_recall: float = 1.0,
+    target_recall: float = 0.9999,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -148,7 +166,7 @@ def near_duplicates(
         by_length.setdefault(len(v), []).append(v)
     k = int(min(MOST_CENTROIDS, max(2, round((n / PER_CELL) ** 0.5))))
     grids = {d: Grid(np.array(x), min(k, len(x))) for d, x in by_length.items()}
-    radius = 2 * (1 - least_cosine) * target_recall**2 + 1e-9
+    radius = {d: grids[d].radius(np.array(x), least_cosine, target_recall) for d, x in by_length.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"cell": pa.int64(), "own": pa.bool_()}
@@ -170,7 +188,7 @@ def near_duplicates(
                     rows.append(i)
                     cells.append(int(n1[j]) * b2.shape[1] + int(n2[j]) + d * 10**6)
                     own.append(True)
-                    seen = grid.visits(b1[j], b2[j], radius)
+                    seen = grid.visits(b1[j], b2[j], radius[d // 8])
                     rows += [i] * len(seen)
                     cells += [c + d * 10**6 for c in seen]
                     own += [False] * len(seen)
