@@ -20,7 +20,6 @@ bucket. The number of buckets follows the bytes of the input. Names are 64-bit h
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +35,9 @@ from .common import batch_of, mixed, prepare, written
 U = np.uint64
 FIRST = 16
 BUCKET_BYTES = 16_000_000
-ODD = U(0x9E3779B97F4A7C15)
+ODD, ODD_2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Bytes of text whose names are made at once.
+BATCH = 120_000
 ANCHOR, RUN, HALF, WINDOW = 0, 1, 2, 3  # what a question is about
 QUESTIONS = "b int, p int, t int, blob binary"
 
@@ -45,17 +46,25 @@ def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * ODD + right)
 
 
-class Text:
-    """Names and runs of one document of at least ``size`` bytes."""
+class Texts:
+    """Names and runs of some documents of at least ``size`` bytes each, laid end to end.
 
-    def __init__(self, raw: bytes, size: int):
-        self.raw, self.size, self.n = raw, size, len(raw)
-        self.whole = U(xxhash.xxh3_64_intdigest(raw, 1))
-        a = np.frombuffer(raw, np.uint8).astype(U)
+    No name or window that counts reaches over the end of its document.
+    """
+
+    def __init__(self, ids: list[int], raws: list[bytes], size: int):
+        self.size, self.raws = size, raws
+        self.docs = np.array([i + (1 << 63) for i in ids], U)  # unsigned values in the order of the signed ids
+        self.whole = np.array([xxhash.xxh3_64_intdigest(r, 1) for r in raws], U)
+        lengths = np.array([len(r) for r in raws])
+        self.tail = np.cumsum(lengths)
+        self.head = self.tail - lengths
+        self.bytes = np.frombuffer(b"".join(raws), np.uint8)
+        a = self.bytes.astype(U)
         a = a[:-1] | (a[1:] << U(8))
         a = a[:-2] | (a[2:] << U(16))
         a = a[:-4] | (a[4:] << U(32))
-        self.names = pairs(mixed(a[:-8]), a[8:])  # of the 16 bytes from each position on
+        self.names = mixed(a[:-8] * ODD + a[8:] * ODD_2)  # of the 16 bytes from each position on
         width, low = size - FIRST + 1, U((1 << 28) - 1)
         least = (self.names & ~low) | np.arange(len(self.names), dtype=U)
         reach = 1
@@ -65,9 +74,18 @@ class Text:
         if reach < width:
             least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
         anchors = (least & low).astype(np.int64)
-        self.start = np.flatnonzero(np.diff(anchors, prepend=-1))
-        self.anchor = anchors[self.start]
+        for t in self.tail[:-1]:  # windows over an end
+            anchors[t - size + 1 : t] = -1
+        self.start = np.flatnonzero(np.diff(anchors, prepend=-2))
         self.end = np.append(self.start[1:], len(anchors)) - 1  # the last window of the run
+        self.anchor = anchors[self.start]
+        real = self.anchor >= 0
+        self.start, self.end, self.anchor = self.start[real], self.end[real], self.anchor[real]
+        self.of = np.searchsorted(self.tail, self.start, side="right")  # each run's document
+
+    def marks(self) -> np.ndarray:
+        """Names of the anchors, scrambled: the least of many names crowd at the low end of their range."""
+        return mixed(self.names[self.anchor] ^ ODD)
 
     def runs(self) -> np.ndarray:
         """Names of the bytes that the windows of each run cover together."""
@@ -82,22 +100,26 @@ class Text:
         at, most = self.anchor, len(self.names) - 1
         left, right = at - FIRST, at + FIRST
         return (
-            np.where(left >= 0, pairs(self.names[np.maximum(left, 0)], self.names[at]), mixed(self.names[at])),
-            np.where(right <= most, pairs(self.names[at], self.names[np.minimum(right, most)]), mixed(self.names[at] + U(1))),
+            np.where(left >= self.head[self.of], pairs(self.names[np.maximum(left, 0)], self.names[at]), mixed(self.names[at])),
+            np.where(
+                right + FIRST <= self.tail[self.of],
+                pairs(self.names[at], self.names[np.minimum(right, most)]),
+                mixed(self.names[at] + U(1)),
+            ),
         )
 
-    def windows(self, runs: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and names of the runs' windows that can recur, given which of their halves do."""
+    def windows(self, runs: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, names and documents of the runs' windows that can recur, given which of their halves do."""
         count = self.end[runs] - self.start[runs] + 1
         own = np.repeat(np.arange(len(runs)), count)
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.start[runs], count)
         before = self.anchor[runs][own] - at
         fits = (left[own] | (before < FIRST)) & (right[own] | (before > self.size - 2 * FIRST))
-        at = at[fits]
+        at, own = at[fits], own[fits]
         rest = self.size - 2 * FIRST
         first = pairs(self.names[at], self.names[at + FIRST])
         second = pairs(self.names[at + rest], self.names[at + rest + FIRST])
-        return at, pairs(first, second)
+        return at, pairs(first, second), self.docs[self.of[runs[own]]]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -193,38 +215,39 @@ class Known:
         return keys[at] == names, low[at]
 
 
-def ordered(i: int) -> np.uint64:
-    """Signed ids as unsigned values of the same order."""
-    return U(i + (1 << 63))
-
-
-def texts(table: pa.Table, size: int) -> Iterator[tuple[int, Text]]:
-    unzip = zstandard.ZstdDecompressor()
+def batches_of(table: pa.Table, size: int) -> Iterator[Texts]:
+    """The documents of a bucket that have an id and at least ``size`` bytes, some at a time."""
+    unzip, ids, raws, total = zstandard.ZstdDecompressor(), [], [], 0
     for i, raw in zip(table["id"].to_pylist(), table["raw"]):
-        if i is not None:
-            data = unzip.decompress(raw.as_py())
-            if len(data) >= size:
-                yield i, Text(data, size)
-
-
-def settled(known: Known, text: Text, doc: np.uint64) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether an equal text has a smaller id; else which runs recur as a whole in a smaller document,
-    and the runs that are open, with which of their halves recur."""
-    found, low = known.find(RUN, np.array([text.whole]))
-    if found[0] and low[0] < doc:
-        return True, np.empty(0, bool), *(np.empty(0, np.int64),) * 3
-    found, low = known.find(RUN, text.runs())
-    gone = found & (low < doc)
-    left, right = (known.find(HALF, x)[0] for x in text.halves())
-    still = np.flatnonzero(~gone & (left | right))
-    return False, gone, still, left[still], right[still]
+        if i is not None and len(data := unzip.decompress(raw.as_py())) >= size:
+            ids.append(i)
+            raws.append(data)
+            total += len(data)
+            if total >= BATCH:
+                yield Texts(ids, raws, size)
+                ids, raws, total = [], [], 0
+    if ids:
+        yield Texts(ids, raws, size)
+
+
+def settled(known: Known, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which documents have an equal text with a smaller id; of the others' runs which recur as a whole in a
+    smaller document, and the runs that are open, with which of their halves recur."""
+    found, low = known.find(RUN, t.whole)
+    copy = found & (low < t.docs)
+    apart = ~copy[t.of]
+    found, low = known.find(RUN, t.runs())
+    gone = apart & found & (low < t.docs[t.of])
+    left, right = (known.find(HALF, x)[0] for x in t.halves())
+    still = np.flatnonzero(apart & ~gone & (left | right))
+    return copy, gone, still, left[still], right[still]
 
 
 def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256). ``size`` is at least 48."""
     if size < 3 * FIRST:
         raise ValueError(f"size is at least {3 * FIRST}")
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     given = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     total = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = int(-(-total // BUCKET_BYTES)) or 1
@@ -240,10 +263,9 @@ def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
     def anchors(group: pa.Table) -> pa.Table:
         keys, values = [], []
-        for i, text in texts(group, size):
-            own = np.append(text.names[text.anchor], text.whole)
-            keys.append(own)
-            values.append(np.full(len(own), ordered(i)))
+        for t in batches_of(group, size):
+            keys += [t.marks(), t.whole]
+            values += [t.docs[t.of], t.docs]
         return question_table(asked(group["b"][0].as_py(), ANCHOR, parts, keys, values))
 
     def runs(group: pa.Table, replies: pa.Table) -> pa.Table:
@@ -251,19 +273,15 @@ def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text
             return question_table([])
         known = Known(replies)
         run_keys, run_values, half_keys, half_values = [], [], [], []
-        for i, text in texts(group, size):
-            doc = ordered(i)
-            same, low = known.find(ANCHOR, np.array([text.whole]))
-            if same[0]:
-                run_keys.append(np.array([text.whole]))
-                run_values.append(np.array([doc]))
-                if low[0] < doc:
-                    continue
-            at = known.find(ANCHOR, text.names[text.anchor])[0]
-            own = text.runs()[at]
+        for t in batches_of(group, size):
+            same, low = known.find(ANCHOR, t.whole)
+            run_keys.append(t.whole[same])
+            run_values.append(t.docs[same])
+            at = known.find(ANCHOR, t.marks())[0] & ~(same & (low < t.docs))[t.of]
+            own = t.runs()[at]
             run_keys.append(own)
-            run_values.append(np.full(len(own), doc))
-            for half in text.halves():
+            run_values.append(t.docs[t.of[at]])
+            for half in t.halves():
                 half_keys.append(half[at])
                 half_values.append(own)
         b = group["b"][0].as_py()
@@ -272,45 +290,46 @@ def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text
     first = answers(documents.groupBy("b").applyInArrow(anchors, QUESTIONS))
     second = answers(documents.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(runs, QUESTIONS))
     second = written(second)
-    release(spark)
 
     def windows(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return question_table([])
         known, keys, values = Known(replies), [], []
-        for i, text in texts(group, size):
-            copy, _, still, left, right = settled(known, text, ordered(i))
-            if not copy and len(still):
-                _, names = text.windows(still, left, right)
-                keys.append(names)
-                values.append(np.full(len(names), ordered(i)))
+        for t in batches_of(group, size):
+            _, _, still, left, right = settled(known, t)
+            _, names, docs = t.windows(still, left, right)
+            keys.append(names)
+            values.append(docs)
         return question_table(asked(group["b"][0].as_py(), WINDOW, parts, keys, values))
 
     def cleaned(group: pa.Table, replies: pa.Table) -> pa.Table:
         known, unzip = Known(replies), zstandard.ZstdDecompressor()
         out: list[tuple] = []
         for i, raw in zip(group["id"].to_pylist(), group["raw"]):
-            data = unzip.decompress(raw.as_py())
-            n = len(data)
-            removed, spans, kept = 0, 0, data
-            if i is not None and n >= size:
-                text, doc = Text(data, size), ordered(i)
-                copy, gone, still, left, right = settled(known, text, doc)
-                if copy:
-                    removed, spans, kept = n, 1, b""
-                else:
-                    at, names = text.windows(still, left, right)
-                    found, low = known.find(WINDOW, names)
-                    at = at[found & (low < doc)]
-                    if gone.any() or len(at):
-                        change = np.zeros(n + 1, np.int64)
-                        np.add.at(change, np.append(text.start[gone], at), 1)
-                        np.add.at(change, np.append(text.end[gone], at) + size, -1)
-                        covered = np.cumsum(change[:n]) > 0
-                        removed = int(covered.sum())
-                        spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                        kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
-            out.append((i, n, removed, spans, hashlib.sha256(kept).hexdigest()))
+            if i is None or len(data := unzip.decompress(raw.as_py())) < size:
+                data = unzip.decompress(raw.as_py())
+                out.append((i, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+        for t in batches_of(group, size):
+            copy, gone, still, left, right = settled(known, t)
+            at, names, docs = t.windows(still, left, right)
+            found, low = known.find(WINDOW, names)
+            at = at[found & (low < docs)]
+            change = np.zeros(len(t.bytes) + 1, np.int32)
+            for a, step in ((t.start[gone], 1), (at, 1), (t.head[copy], 1)):
+                np.add.at(change, a, step)
+            for a in (t.end[gone] + size, at + size, t.tail[copy]):
+                np.add.at(change, a, -1)
+            covered = np.cumsum(change[:-1]) > 0
+            starts = covered.copy()
+            starts[1:] &= ~covered[:-1]
+            starts[t.head] = covered[t.head]
+            kept, left_over = t.bytes[~covered].tobytes(), np.append(0, np.cumsum(~covered))
+            n_starts = np.append(0, np.cumsum(starts))
+            for k, (a, z) in enumerate(zip(t.head.tolist(), t.tail.tolist())):
+                x, y = int(left_over[a]), int(left_over[z])
+                digest = hashlib.sha256(kept[x:y]).hexdigest()
+                own = int(t.docs[k]) - (1 << 63)
+                out.append((own, z - a, z - a - (y - x), int(n_starts[z] - n_starts[a]), digest))
         cols = list(zip(*out)) if out else [(), (), (), (), ()]
         types = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(types.items(), cols)})
@@ -323,8 +342,3 @@ def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text
         .withColumnRenamed("id", id_col)
     )
 
-
-def release(spark) -> None:
-    """Lets go of the shuffle files of what has been written, which else stay until a collection happens."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
