@@ -103,15 +103,15 @@ def html_to_text(html: Column) -> Column:
     for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(mark))
     bare = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def html_to_markdown(html: Column) -> Column:
     """Headings, list items, emphasis and links in Markdown, the rest as ``html_to_text``."""
     out = html
     for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>\s*(.*?)\s*</h{level}>", "\n" + "#" * level + r" $1\n")
-    out = F.regexp_replace(out, r"(?is)<li[^>]*>\s*(.*?)\s*</li>", r"- $1\n")
+        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>\s*(.*?)\s*</h{level}>", "\n" + "#" * level + " $1\n")
+    out = F.regexp_replace(out, r"(?is)<li[^>]*>\s*(.*?)\s*</li>", "- $1\n")
     out = F.regexp_replace(out, r"(?is)<(b|strong)>(.*?)</\1>", r"**$2**")
     out = F.regexp_replace(out, r"(?is)<(i|em)>(.*?)</\1>", r"*$2*")
     out = F.regexp_replace(out, r"(?is)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", r"[$2]($1)")
