@@ -210,14 +210,14 @@ def gap_sql(flag: str, source: str = E) -> str:
 
 
 ORACLE_SQL = {
-    "sessionize_gap": gap_sql("step > 86400") + " select user_id, g as session, count(*) as n, min(sec) as start, max(sec) as \"end\" from b group by all",
-    "vblock_segments": f"with s as (select *, sec - lag(sec) {W} as step from {E}), m as (select user_id, greatest(quantile_cont(step, 0.5), 4.0) as med from s where step > 0 group by 1), b as (select s.*, sum(case when step > med * 2.5 then 1 else 0 end) {W} as block from s left join m using (user_id)) select user_id, block, count(*) as n, min(event_id) as first_id from b group by all",
+    "sessionize_gap": gap_sql("step > 86400") + " select user_id, cast(g as bigint) as session, count(*) as n, min(sec) as start, max(sec) as \"end\" from b group by all",
+    "vblock_segments": f"with s as (select *, sec - lag(sec) {W} as step from {E}), m as (select user_id, greatest(quantile_cont(step, 0.5), 4.0) as med from s where step > 0 group by 1), b as (select s.*, sum(case when step > med * 2.5 then 1 else 0 end) {W} as block from s left join m using (user_id)) select user_id, cast(block as bigint) as block, count(*) as n, min(event_id) as first_id from b group by all",
     "supported_clusters": gap_sql("step > 36000") + " select user_id, cast(sum(case when n >= 3 then n else 0 end) as bigint) as n from (select user_id, g, count(*) as n from b group by all) group by 1",
     "merge_intervals_strict": merged_sql("x0 >= top"),
     "merge_intervals_with_gap": merged_sql("x0 > top + 2000"),
     "runs_of_true": f"with e as (select user_id, value, row_number() {W} as k from events), t as (select *, k - lag(k) over (partition by user_id order by k) as step from e where value > 50), r as (select *, sum(case when step > 2 then 1 else 0 end) over (partition by user_id order by k) as g from t) select user_id, min(k) as start, max(k) as \"end\" from r group by user_id, g having max(k) - min(k) + 1 >= 3",
-    "largest_gap_split": f"with a as (select *, sec - lag(sec) {W} as step, row_number() {W} as no from {E}), r as (select *, row_number() over (partition by user_id order by step desc nulls last, no) as rk from a), b as (select *, sum(case when step > 0 and rk <= 2 then 1 else 0 end) over (partition by user_id order by no) as cluster from r) select user_id, cluster, count(*) as n, min(sec) as start, max(sec) as \"end\" from b group by all",
-    "segment_by_drops": f"with a as (select *, lag(value) {W} - value as step, row_number() {W} as no from events), r as (select *, row_number() over (partition by user_id order by step desc nulls last, no) as rk from a), b as (select *, sum(case when step > 0 and rk <= 3 then 1 else 0 end) over (partition by user_id order by no) as page from r) select user_id, page, count(*) as n, min(event_id) as first_id from b group by all",
+    "largest_gap_split": f"with a as (select *, sec - lag(sec) {W} as step, row_number() {W} as no from {E}), r as (select *, row_number() over (partition by user_id order by step desc nulls last, no) as rk from a), b as (select *, sum(case when step > 0 and rk <= 2 then 1 else 0 end) over (partition by user_id order by no) as cluster from r) select user_id, cast(cluster as bigint) as cluster, count(*) as n, min(sec) as start, max(sec) as \"end\" from b group by all",
+    "segment_by_drops": f"with a as (select *, lag(value) {W} - value as step, row_number() {W} as no from events), r as (select *, row_number() over (partition by user_id order by step desc nulls last, no) as rk from a), b as (select *, sum(case when step > 0 and rk <= 3 then 1 else 0 end) over (partition by user_id order by no) as page from r) select user_id, cast(page as bigint) as page, count(*) as n, min(event_id) as first_id from b group by all",
     "rolling_p5_med_p95_300": "with a as (select event_id, list_sort(list(value) over (partition by event_type order by ts, event_id rows between 299 preceding and current row)) as v from events) select event_id, round(v[cast(round_even((len(v) - 1) * 0.05, 0) as bigint) + 1], 6) as p5, round((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2, 6) as median, round(v[cast(round_even((len(v) - 1) * 0.95, 0) as bigint) + 1], 6) as p95 from a",
     "upper_median": "with a as (select event_type, list_sort(list(value)) as v from events group by 1) select event_type, v[len(v) // 2 + 1] as upper_median from a",
     "step_shares": "with m as (select event_type, quantile_cont(value, 0.5) as m from events group by 1) select event_type, round(m, 6) as median, round(m / (select sum(m) from m), 6) as share from m",
@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "fractional_order": "select p_partkey, (p_size + lead(p_size) over (partition by p_brand order by p_size, p_partkey)) / 2 as between from part",
     "warm_start": "with a as (select event_id, list_sort(list(value) over (partition by user_id, event_type order by ts, event_id rows between 3 preceding and 1 preceding)) as v from events) select event_id, round(case when len(v) > 0 then least((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2, 50.0) end, 6) as seed from a",
     "quiescence": f"select user_id, n, (select max(sec) from {E}) - last >= 86400 as complete from (select user_id, count(distinct event_type || cast(ts as date)) as n, max(sec) as last from {E} group by 1) where n >= 10",
-    "columns_of_blocks": "with a as (select *, x - lag(x) over w as step from (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as x from orders) window w as (partition by o_custkey order by x, o_orderkey)), b as (select *, sum(case when step > 20000 then 1 else 0 end) over (partition by o_custkey order by x, o_orderkey) as col from a) select o_custkey, col, count(*) as n, min(o_orderkey) as first_id from b group by all",
+    "columns_of_blocks": "with a as (select *, x - lag(x) over w as step from (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as x from orders) window w as (partition by o_custkey order by x, o_orderkey)), b as (select *, sum(case when step > 20000 then 1 else 0 end) over (partition by o_custkey order by x, o_orderkey) as col from a) select o_custkey, cast(col as bigint) as col, count(*) as n, min(o_orderkey) as first_id from b group by all",
     "nearest_run_assign": f"with runs as ({merged_sql('x0 > top + 2000')}), j as (select o_orderkey as l_orderkey, x0, greatest(0, x0 - c, c - x1) as away from (select *, cast(floor(o_totalprice / 4) as bigint) as c from orders) join runs on l_orderkey = o_orderkey) select l_orderkey, x0 as run, away from j qualify row_number() over (partition by l_orderkey order by away, x0) = 1",
     "overlap_argmax": "with b as (select l_orderkey, l_linenumber, cast(floor(l_extendedprice) as bigint) as x0, cast(floor(l_extendedprice) + floor(l_quantity) * 500 as bigint) as x1 from lineitem), j as (select a.l_orderkey, a.l_linenumber as line, c.l_linenumber as other, cast(floor((least(a.x1, c.x1) - greatest(a.x0, c.x0)) * 10000 / least(a.x1 - a.x0, c.x1 - c.x0)) as bigint) as score from b a join b c on a.l_orderkey = c.l_orderkey and a.l_linenumber <> c.l_linenumber) select l_orderkey, line, other, score from j where score > 4000 qualify row_number() over (partition by l_orderkey, line order by score desc, other) = 1",
     "box_in_rect": f"select l_orderkey, count(*) as n from {BOX} join orders on o_orderkey = l_orderkey where x1 <= cast(floor(o_totalprice / 2) as bigint) group by 1",

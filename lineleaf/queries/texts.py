@@ -173,16 +173,16 @@ ORACLE_SQL = {
     "script_anomaly": "select doc_id, len(regexp_extract_all(text, '[\\p{Greek}\\p{Cyrillic}\\p{Hebrew}\\p{Arabic}\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]')) >= 2 as odd from documents",
     "degenerate_loop": f"select doc_id, count(*) >= 8 and 2 * count(distinct regexp_replace(line, '^\\s*\\d+[.)]\\s*', '')) < count(*) as loops from {LINES_SQL} group by 1",
     "running_heads": f"with s as (select doc_id, source, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '\\d+', '', 'g'), '[^\\p{{L}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as sig, count(*) over (partition by doc_id) as n from {LINES_SQL}), e as (select * from s where (pos < 2 or pos >= n - 2) and sig <> ''), c as (select source, sig from e group by all having count(distinct doc_id) >= 3) select source, sig, doc_id, pos, doc_id <> min(doc_id) over (partition by source, sig) or pos <> first_value(pos) over (partition by source, sig order by doc_id, pos) as dropped from e join c using (source, sig)",
-    "page_geometry": f"select doc_id, round(median_h, 4) as median_h, round(p10, 4) as left_edge, round(p90, 4) as right_edge, round(median_gap, 4) as median_gap, round(1.6 * median_gap, 4) as para_gap, round(greatest(median_h, 0.018 * w), 4) as indent, round(0.12 * w, 4) as short_by from {GEO}",
+    "page_geometry": f"select doc_id, round(median_h, 4) as median_h, round(p10, 4) as left_edge, round(p90, 4) as right_edge, round(median_gap, 4) as median_gap, round(1.6 * median_gap, 4) as para_gap, round(greatest(median_h, 0.018 * w), 4) as indent, cast(round(0.12 * w, 4) as double) as short_by from {GEO}",
     "footnote_region": f"with b as (select g.*, median_gap, greatest(1, max(g.y0 + g.h) over (partition by doc_id)) as page_h, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by pos) as k from {GAPS} g join {GEO} using (doc_id)), r as (select *, row_number() over (partition by doc_id order by gap_above desc, k) as rk, lead(gap_above) over (partition by doc_id order by gap_above desc, k) as second from b where y0 > 0.58 * page_h and gap_above is not null) select doc_id, pos as first_note from r where rk = 1 and gap_above >= 3 * median_gap and gap_above >= 1.8 * greatest(coalesce(second, 0), 1.6 * median_gap) and n - k >= 1",
     "heading_score": f"""with b as (select g.*, h / median_h as ratio, median_gap, p10, p90 from {GAPS} g join {GEO} using (doc_id)),
       f as (select *, length(trim(line, ' ')) as n, regexp_matches(line, '^(Chapter|Kapitel|Chapitre|Section)\\b') as kw, b.line <> '' and not (regexp_replace(line, '[\\s"'')\\]»”’]*$', '') = '' or right(regexp_replace(line, '[\\s"'')\\]»”’]*$', ''), 1) in ('.', '!', '?', '…', ':')) as open_end,
         regexp_matches(line, '\\p{{Lu}}') and not regexp_matches(line, '\\p{{Ll}}') as caps, regexp_matches(trim(line, ' '), '^[IVXLC]+\\.?$') as roman, abs((x0 - p10) - (p90 - x1)) <= 0.1 * greatest(1, p90 - p10) and x0 > p10 as centred from b),
       s as (select *, (case when ratio >= 1.5 then 2.0 when ratio >= 1.25 then 1.2 when ratio >= 1.1 then 0.6 else 0 end) + (case when gap_above > 1.6 * median_gap then 0.6 else 0 end) + (case when gap_below > 1.6 * median_gap then 0.6 else 0 end) + (case when centred then 0.8 else 0 end) + (case when n <= 40 then 0.4 else 0 end) + (case when caps then 0.8 else 0 end) + (case when roman then 0.4 else 0 end) + (case when open_end then 0.2 else 0 end) as score from f)
-      select doc_id, pos, round(score, 4) as score, n <= 80 and (kw or ratio >= 0.9 and round(score, 4) >= 1.8) as is_heading from s""",
+      select doc_id, pos, cast(round(score, 4) as double) as score, n <= 80 and (kw or ratio >= 0.9 and round(score, 4) >= 1.8) as is_heading from s""",
     "heading_levels": "with a as (select source, doc_id, round(n_chars / 2000, 4) as ratio from documents), b as (select *, lag(ratio) over (partition by source order by ratio desc, doc_id) - ratio as step, row_number() over (partition by source order by ratio desc, doc_id) as no from a), r as (select *, row_number() over (partition by source order by step desc nulls last, no) as rk from b), c as (select *, sum(case when step > 0 and rk <= 2 then 1 else 0 end) over (partition by source order by no) as g from r), m as (select *, avg(ratio) over (partition by source, g) as mean from c) select source, doc_id, cast(greatest(g + 1, case when mean >= 1.7 then 1 when mean >= 1.35 then 2 else 3 end) as bigint) as level from m",
-    "paragraph_merge": "with c as (select conv_id, turn, regexp_replace(text, '[\\s\"'')\\]»”’]*$', '') as b, regexp_matches(text, '^\\s*(\\p{Ll}|[),;»”’])') as goes_on from conversations), e as (select *, b = '' or right(b, 1) in ('.', '!', '?', '…', ':') as ends from c), n as (select *, not (coalesce(not lag(ends) over w, false) and goes_on) as new from e window w as (partition by conv_id order by turn)), p as (select *, sum(new::int) over (partition by conv_id order by turn) as para from n) select conv_id, para, count(*) as n, min(turn) as first_turn from p group by all",
-    "mark_pages": f"select doc_id, part, count(*) as n from (select doc_id, sum(contains(line, 'License')::int) over (partition by doc_id order by pos) as part from {LINES_SQL}) group by all",
+    "paragraph_merge": "with c as (select conv_id, turn, regexp_replace(text, '[\\s\"'')\\]»”’]*$', '') as b, regexp_matches(text, '^\\s*(\\p{Ll}|[),;»”’])') as goes_on from conversations), e as (select *, b = '' or right(b, 1) in ('.', '!', '?', '…', ':') as ends from c), n as (select *, not (coalesce(not lag(ends) over w, false) and goes_on) as new from e window w as (partition by conv_id order by turn)), p as (select *, sum(new::int) over (partition by conv_id order by turn) as para from n) select conv_id, cast(para as bigint) as para, count(*) as n, min(turn) as first_turn from p group by all",
+    "mark_pages": f"select doc_id, cast(part as bigint) as part, count(*) as n from (select doc_id, sum(contains(line, 'License')::int) over (partition by doc_id order by pos) as part from {LINES_SQL}) group by all",
     "word_overlap_dice": "with a as (select k, w, count(*) as n from (select doc_id as k, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by all), b as (select k, w, count(*) as n from (select item_id as k, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark) group by all), c as (select k, sum(least(a.n, b.n)) as c from a join b using (k, w) group by 1) select k, round(2 * coalesce(c, 0) / (m + n), 6) as dice from (select k, sum(n) as m from b group by 1) join (select k, sum(n) as n from a group by 1) using (k) left join c using (k)",
     "mm_to_px": "select l_suppkey, cast(sum(round_even(l_quantity * 300 / 25.4, 0)) as bigint) as px from lineitem group by 1",
     "bucket_pick": "select case " + " ".join(f"when p_size <= {a} and floor(p_retailprice) <= {b} then {i}" for i, (a, b) in enumerate(G.BUCKETS)) + " end as bucket, count(*) as n from part group by 1",
