@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, components, map_texts, mixed, prepare, window_hashes, word_hashes, written
@@ -73,12 +73,17 @@ class Scheme:
     def cuts(self, tag: int) -> tuple[int, int]:
         """Ranges, and how many of them can differ at most, for sets up to the tag's size."""
         most = self.differ(2 * self.tops[tag])
-        return (0, 0) if most == 0 else (most + 2 + most // 50, most)
+        return (0, 0) if most == 0 else (most + 2 + most // 3, most)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """A set has those of its class and of the next: two linked sets share one of the tags."""
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the filled ranges under the tags of the set's class and of the next, one of which two linked
+        sets share; and for each how many of the tag's most frequent names the set can do without.
+
+        Of its ranges two linked sets have all but the cut's most alike, so each needs to look only at as many of
+        its rarest names as that most and one more; empty ranges count as the most frequent names.
+        """
         at = bisect_left(self.tops, len(s))
-        out = []
+        names, spared = [], []
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(s ^ U(0x5851F42D4C957F2D)), dtype=U)])
         for tag in (at, at + 1):
             parts, most = self.cuts(tag)
@@ -87,12 +92,16 @@ class Scheme:
             step = U((1 << 64) // parts)
             ends = np.searchsorted(s, np.arange(1, parts, dtype=U) * step)
             bounds = np.concatenate([[0], ends, [len(s)]])
-            names = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + mixed(np.arange(parts, dtype=U) + U(tag << 40)))
+            own = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + mixed(np.arange(parts, dtype=U) + U(tag << 40)))
             filled = bounds[1:] > bounds[:-1]
-            if parts - int(filled.sum()) < parts - most:  # some range that is alike has something in it
-                names = names[filled]
-            out.append(names)
-        return np.concatenate(out) if out else np.empty(0, U)
+            rest = parts - most - 1 - (parts - int(filled.sum()))
+            if rest >= 0:  # else even an empty range may be the one that is alike
+                own = own[filled]
+            names.append(own)
+            spared.append(np.full(len(own), 2 * max(0, rest) + tag % 2, np.int64))
+        if not names:
+            return np.empty(0, U), np.empty(0, np.int64)
+        return np.concatenate(names), np.concatenate(spared)
 
 
 class Forest:
@@ -164,15 +173,65 @@ def divide_skip(
     return out
 
 
-def named_sets(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Rows (id, n_shingles, s, null), s the set's name or null for an empty set, one per input row, and
-    rows (null, null, s, g) of the sets' signatures."""
+def signature_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Rows (g, s) of signatures and set names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, done = Scheme(percent), set()
+        for batch in batches:
+            owners, signatures = [], []
+            for text in batch.column(0).to_pylist():
+                s = shingles(text, n)
+                own = set_id(s) if len(s) else None
+                if own is None or own in done:
+                    continue
+                if len(done) < 200_000:  # equal sets of one task; the others meet in the aggregation
+                    done.add(own)
+                signatures.append(scheme.signatures(s)[0].astype(np.int64))
+                owners.append(np.full(len(signatures[-1]), own, np.int64))
+            if owners:
+                yield batch_of(
+                    {"g": np.concatenate(signatures), "s": np.concatenate(owners)}, {"g": pa.int64(), "s": pa.int64()}
+                )
+
+    return map_texts(df.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text")), run, "g long, s long")
+
+
+#: Bits of the filter that spares rows which meet no other; its size is fixed, with more rows it spares fewer.
+FILTER_BITS = 1 << 25
+
+
+def filter_places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mixed(g.astype(np.int64).view(U))
+    return (h & U(FILTER_BITS - 1)).astype(np.int64), (h >> U(39)).astype(np.int64)
+
+
+def filter_of(shared: DataFrame) -> np.ndarray:
+    """One bit array of the shared signatures, from at most eight parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in filter_places(batch.column(0).to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        yield batch_of({"bits": [np.packbits(bits, bitorder="little").tobytes()]}, {"bits": pa.binary()})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in shared.select("g").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def named_sets(df: DataFrame, bits: np.ndarray, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Rows (id, n_shingles, s, null), one per input row, s the set's name or null for an empty set, and rows
+    (null, k, s, g) of the signatures that pass the filter; k holds how many the set can do without, and the tag's parity."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme, done, filled = Scheme(percent), set(), shared.value
         types = {"id": pa.int64(), "n_shingles": pa.int64(), "s": pa.int64(), "g": pa.int64()}
         for batch in batches:
-            ids, sizes, names, owners, signatures = batch.column(0).to_pylist(), [], [], [], []
+            ids, sizes, names, owners, signatures, spared = batch.column(0).to_pylist(), [], [], [], [], []
             for i, text in zip(ids, batch.column(1).to_pylist()):
                 s = shingles(text, n)
                 sizes.append(len(s))
@@ -180,16 +239,21 @@ def named_sets(df: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 names.append(own)
                 if own is None or i is None or own in done:
                     continue
-                if len(done) < 200_000:  # equal sets of one task; the others meet in the aggregation
+                if len(done) < 200_000:
                     done.add(own)
-                signatures.append(scheme.signatures(s).astype(np.int64))
+                g, k = scheme.signatures(s)
+                g = g.astype(np.int64)
+                x, y = filter_places(g)
+                passed = ((filled[x >> 3] >> (x & 7)) & (filled[y >> 3] >> (y & 7)) & 1).astype(bool)
+                signatures.append(g[passed])
+                spared.append(k[passed])
                 owners.append(np.full(len(signatures[-1]), own, np.int64))
             none = [None] * len(ids)
             yield batch_of({"id": ids, "n_shingles": sizes, "s": names, "g": none}, types)
             if owners:
                 g = np.concatenate(signatures)
                 gone = pa.nulls(len(g), pa.int64())
-                yield batch_of({"id": gone, "n_shingles": gone, "s": np.concatenate(owners), "g": g}, types)
+                yield batch_of({"id": gone, "n_shingles": np.concatenate(spared), "s": np.concatenate(owners), "g": g}, types)
 
     return map_texts(
         df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
@@ -227,11 +291,14 @@ def verified(rows: DataFrame, n: int, percent: int, cross: bool) -> DataFrame:
     return dealt.select("task", "block", "comp", "s", "text").mapInArrow(run, "a long, b long")
 
 
-def links(df: DataFrame, rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def links(df: DataFrame, rows: DataFrame, shared: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Components (id, component) of the sets that link with others, by set names."""
-    sets, signatures = rows.where("g is null"), rows.where("g is not null").select("g", "s")
-    shared = signatures.groupBy("g").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").select("g", "a")
-    pairs = signatures.join(shared, "g").where("s <> a").select("a", F.col("s").alias("b")).distinct()
+    sets = rows.where("g is null")
+    known = rows.where("g is not null").select("g", "s", F.col("n_shingles").alias("k")).distinct().join(shared, "g")
+    rarity = Window.partitionBy("s", F.col("k") % 2).orderBy(F.desc("n"), "g")
+    needed = scratch.table(known.withColumn("rank", F.row_number().over(rarity)).where("rank > k div 2").select("g", "s"))
+    firsts_of = needed.groupBy("g").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").select("g", "a")
+    pairs = needed.join(firsts_of, "g").where("s <> a").select("a", F.col("s").alias("b")).distinct()
     groups = components(pairs).select(F.col("id").alias("s"), F.col("component").alias("group"))
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     firsts = sets.where("id is not null and s is not null").groupBy("s").agg(F.min("id").alias("id"))
@@ -279,9 +346,13 @@ def similar_documents(
 ) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id)."""
     with Scratch(prepare(df.sparkSession)) as scratch:
-        rows = scratch.table(named_sets(df, id_col, text_col, n, percent))
+        least = signature_rows(df, id_col, text_col, n, percent).groupBy("g").agg(
+            F.min("s").alias("a"), F.max("s").alias("z"), F.count("*").alias("n")
+        )
+        shared = scratch.table(least.where("a < z").select("g", "n"))
+        rows = scratch.table(named_sets(df, filter_of(shared), id_col, text_col, n, percent))
         sets = written(rows.where("g is null").select("id", "n_shingles", "s"))
-        found = links(df, rows, scratch, id_col, text_col, n, percent)
+        found = links(df, rows, shared, scratch, id_col, text_col, n, percent)
     found = found.select(F.col("id").alias("s"), F.col("component").alias("c"))
     named = sets.join(found, "s", "left").select("id", "n_shingles", F.coalesce("c", "s").alias("c"))
     least = named.where("id is not null and c is not null").groupBy("c").agg(F.min("id").alias("least"))
