@@ -25,8 +25,8 @@ def predicate(column, name):
 
 
 def joined_lines(s, d):
-    x = lines(s, d).where("pos < 6").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda v: v["line"]).alias("l"))
-    return x.select("doc_id", T.join_all("l").alias("joined"))
+    x = load(s, d, "documents").where("text is not null")
+    return x.select("doc_id", T.join_all(F.split("text", "\n")).alias("joined"))
 
 
 def html_strip(s, d):
