@@ -1,11 +1,14 @@
 """Registered queries against brute force on small tables made so that a query that leaves rows out is seen."""
 
+import json
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from lineleaf import catalogue
+from lineleaf.queries import pages
 
 
 def table(tmp_path, name, columns, rows):
@@ -34,3 +37,37 @@ def test_joined_lines_take_the_whole_text(spark, tmp_path):
     got = {r.doc_id: r.joined for r in catalogue.QUERIES["joined_lines"](spark, d).collect()}
     assert got == {k: glued(v) for k, v in texts.items()}
     assert "line 39 of exam-" in got[1]
+
+
+PAGED = {1: ["x" * (i % 230) for i in range(130)], 2: ["x" * 450, "", "x" * 200, "x" * 201], 3: [""], 4: ["x" * 12_345] + ["x"] * 3, 5_000_000: ["short"] * 61}
+
+
+@pytest.fixture
+def paged(tmp_path):
+    return table(tmp_path, "documents", ["doc_id", "source", "text"], [(k, "web", "\n".join(v)) for k, v in PAGED.items()])
+
+
+def rows_of(lines):
+    """Rows a text takes on pages: a line has one for every 200 characters begun."""
+    return [min(200, len(x) - k) for x in lines for k in range(0, max(1, len(x)), 200)]
+
+
+def test_every_line_is_drawn(spark, paged):
+    ink, numbers = {}, {}
+    for r in pages.drawn(spark, paged).collect():
+        a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)
+        ink[r.page] = ink.get(r.page, 0) + int((a == 40).sum()) // 6
+        numbers.setdefault(r.page, []).append(json.loads(r.meta)["number"])
+        assert r.height <= 624
+    assert ink == {k: sum(map(len, v)) for k, v in PAGED.items()}
+    assert {k: sorted(v) for k, v in numbers.items()} == {k: list(range(1, -(-len(rows_of(v)) // 60) + 1)) for k, v in PAGED.items()}
+
+
+def test_page_queries_take_every_document(spark, paged):
+    got = {r.page: r.n_lines for r in catalogue.QUERIES["recognized_lines"](spark, paged).collect()}
+    assert got == {k: sum(x != "" for x in v) for k, v in PAGED.items()}
+    out = catalogue.QUERIES["page_pipeline"](spark, paged).collect()
+    assert {(r.page, r.number) for r in out} == {(k, n + 1) for k, v in PAGED.items() for n in range(-(-len(rows_of(v)) // 60))}
+    glyphs = {r.page: r.n for r in catalogue.QUERIES["glyph_scales"](spark, paged).collect()}
+    sized = {k: sum(5 <= n - 1 <= 80 for n in rows_of(v)) for k, v in PAGED.items()}
+    assert {k: n for k, n in glyphs.items() if n} == {k: n for k, n in sized.items() if n}
