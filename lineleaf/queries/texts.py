@@ -124,11 +124,12 @@ def time_ago_bucket(s, d):
 
 
 def pair_score(s, d):
-    b = load(s, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice") % 800).alias("x0"), (F.floor("l_extendedprice") % 800 + F.floor("l_quantity") + 1).alias("x1"), (F.col("l_partkey") % 50).alias("y0"), (F.col("l_partkey") % 50 + 20).alias("y1"))
+    """Every two lines of an order, the smaller number first."""
+    b = load(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice") % 800).alias("x0"), (F.floor("l_extendedprice") % 800 + F.floor("l_quantity") + 1).alias("x1"), (F.col("l_partkey") % 50).alias("y0"), (F.col("l_partkey") % 50 + 20).alias("y1"))
     b = b.groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("x0", "x1", "y0", "y1")))
-    a, c = b.where("l_linenumber = 1").alias("a"), b.where("l_linenumber = 2").alias("c")
+    a, c = b.alias("a"), b.withColumnRenamed("l_linenumber", "other_line").alias("c")
     box = lambda n: {k: F.col(f"{n}.{k}") for k in ("x0", "x1", "y0", "y1")}
-    return a.join(c, "l_orderkey").select("l_orderkey", F.floor(G.pair_score(box("a"), box("c"), F.lit(1000)) * 10_000 + 1e-6).alias("score"))
+    return a.join(c, "l_orderkey").where("l_linenumber < other_line").select("l_orderkey", "l_linenumber", "other_line", F.floor(G.pair_score(box("a"), box("c"), F.lit(1000)) * 10_000 + 1e-6).alias("score"))
 
 
 def target_sizes(s, d):

@@ -1,6 +1,7 @@
 """Registered queries against brute force on small tables made so that a query that leaves rows out is seen."""
 
 import json
+import math
 import re
 
 import numpy as np
@@ -71,3 +72,20 @@ def test_page_queries_take_every_document(spark, paged):
     glyphs = {r.page: r.n for r in catalogue.QUERIES["glyph_scales"](spark, paged).collect()}
     sized = {k: sum(5 <= n - 1 <= 80 for n in rows_of(v)) for k, v in PAGED.items()}
     assert {k: n for k, n in glyphs.items() if n} == {k: n for k, n in sized.items() if n}
+
+
+def test_pair_score_takes_every_pair(spark, tmp_path):
+    orders = {1: range(1, 8), 2: (3, 5, 6), 3: (2,), 4: (1, 2)}
+    rows = [(k, n, 1000.0 + 37 * k * n + 0.5, float(n + k), 11 * n + k) for k, v in orders.items() for n in v]
+    d = table(tmp_path, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey"], rows)
+    boxes = {(k, n): (int(p) % 800, int(p) % 800 + int(q) + 1, i % 50, i % 50 + 20) for k, n, p, q, i in rows}
+
+    def score(a, c):
+        overlap = max(0, min(a[3], c[3]) - max(a[2], c[2])) / max(1, min(a[3] - a[2], c[3] - c[2]))
+        near = max(0.0, 1 - max(0, max(a[0], c[0]) - min(a[1], c[1])) / 1000 / 0.15)
+        wide = [x[1] - x[0] for x in (a, c)]
+        return math.floor(overlap * (0.4 * near + 0.6 * (1 - min(wide) / max(1, *wide))) * 10_000 + 1e-6)
+
+    want = {(k, a, c): score(boxes[k, a], boxes[k, c]) for k, v in orders.items() for a in v for c in v if a < c}
+    got = catalogue.QUERIES["pair_score"](spark, d).collect()
+    assert len(got) == len(want) == 25 and {tuple(r)[:3]: r.score for r in got} == want
