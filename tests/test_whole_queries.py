@@ -89,3 +89,10 @@ def test_pair_score_takes_every_pair(spark, tmp_path):
     want = {(k, a, c): score(boxes[k, a], boxes[k, c]) for k, v in orders.items() for a in v for c in v if a < c}
     got = catalogue.QUERIES["pair_score"](spark, d).collect()
     assert len(got) == len(want) == 25 and {tuple(r)[:3]: r.score for r in got} == want
+
+
+def test_case_insensitive_order_has_every_row(spark, tmp_path):
+    rows = [(i, ("Supplier {}" if i % 2 else "SUPPLIER {}").format(i * 7 % 31)) for i in range(90)]
+    d = table(tmp_path, "supplier", ["s_suppkey", "s_name"], rows)
+    got = [tuple(r) for r in catalogue.QUERIES["case_insensitive_order"](spark, d).collect()]
+    assert got == [(i, n.lower()) for i, n in sorted(rows, key=lambda r: (r[1].lower(), r[0]))]
