@@ -3,12 +3,14 @@
 import json
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from lineleaf import catalogue
+from lineleaf.operators import document as D
 from lineleaf.queries import pages
 
 
@@ -96,3 +98,24 @@ def test_case_insensitive_order_has_every_row(spark, tmp_path):
     d = table(tmp_path, "supplier", ["s_suppkey", "s_name"], rows)
     got = [tuple(r) for r in catalogue.QUERIES["case_insensitive_order"](spark, d).collect()]
     assert got == [(i, n.lower()) for i, n in sorted(rows, key=lambda r: (r[1].lower(), r[0]))]
+
+
+def test_boxed_queries_take_every_id(spark, tmp_path):
+    say = ["CHAPTER ONE", "The first line of a para-", "graph goes on until it", "reaches its end here.", "• an item", "Яблоко и груша на столе", "x" * 34 + " y"]
+    ids = [7, 999_999, 1_000_000, 3_000_000_000, None]
+    docs = [(i, f"s{k % 2}", "\n".join([*say, f"Words of its own {k}"][k:])) for k, i in enumerate(ids)]
+    pd.DataFrame(docs, columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    boxes = [
+        (i, source, p, t, p * 40 + p // 7 * 25, 20 + len(t) % 9, p % 5 * 10, p % 5 * 10 + 8 * min(len(t), 90))
+        for i, source, text in docs for p, t in enumerate(text.split("\n")) if t.strip()
+    ]
+    want = D.assemble(spark.createDataFrame(boxes, "page long, source string, pos int, line string, y0 long, h int, x0 int, x1 int"), "source")
+    got = {r.source: r.markdown for r in catalogue.QUERIES["assembled_markdown"](spark, str(tmp_path)).collect()}
+    assert got == {r.source: r.markdown for r in want.collect()}
+    assert all(f"Words of its own {k}" in got[f"s{k % 2}"] for k in range(len(ids)))
+    plan = Counter()
+    for i in ids:
+        own = [b[3] for b in boxes if b[0] == i]
+        low = [" " in t and (len(t) % 50 / 50 < 0.7 or len(re.findall("[а-яА-Я]", t)) >= 2) for t in own]
+        plan.update((i, "page" if sum(low) / len(low) > 0.3 else "block" if x else "no") for x in low)
+    assert {(r.page, r.again): r.n for r in catalogue.QUERIES["complement_plan"](spark, str(tmp_path)).collect()} == plan
