@@ -117,9 +117,10 @@ class Texts:
         fits = (left[own] | (before < FIRST)) & (right[own] | (before > self.size - 2 * FIRST))
         at, own = at[fits], own[fits]
         rest = self.size - 2 * FIRST
-        first = pairs(self.names[at], self.names[at + FIRST])
-        second = pairs(self.names[at + rest], self.names[at + rest + FIRST])
-        return at, pairs(first, second), self.docs[self.of[runs[own]]]
+        out = pairs(self.names[at], self.names[at + FIRST])
+        for offset in [*range(2 * FIRST, rest, 2 * FIRST), rest]:  # every byte; the last pair may overlap
+            out = pairs(out, pairs(self.names[at + offset], self.names[at + offset + FIRST]))
+        return at, out, self.docs[self.of[runs[own]]]
 
 
 def planes(x: np.ndarray) -> bytes:
