@@ -1,9 +1,7 @@
 """Registered queries against brute force on small tables made so that a query that leaves rows out is seen."""
 
-import hashlib
 import json
 import math
-import random
 import re
 from collections import Counter
 
@@ -12,7 +10,6 @@ import pandas as pd
 import pytest
 
 from lineleaf import catalogue
-from lineleaf.llm import suffix_dedup
 from lineleaf.operators import document as D
 from lineleaf.queries import pages
 
@@ -122,26 +119,3 @@ def test_boxed_queries_take_every_id(spark, tmp_path):
         low = [" " in t and (len(t) % 50 / 50 < 0.7 or len(re.findall("[а-яА-Я]", t)) >= 2) for t in own]
         plan.update((i, "page" if sum(low) / len(low) > 0.3 else "block" if x else "no") for x in low)
     assert {(r.page, r.again): r.n for r in catalogue.QUERIES["complement_plan"](spark, str(tmp_path)).collect()} == plan
-
-
-@pytest.mark.parametrize("size", [48, 50, 64, 65, 70, 100, 131])
-def test_repeated_strings_of_other_sizes(spark, size):
-    """Texts that agree in the first and last 32 bytes of a window and differ between are no repeats."""
-    rng = random.Random(size)
-    some = lambda n: "".join(rng.choices("abcdefghij", k=n))
-    rows = []
-    for i in range(0, 240, 2):
-        head, foot, between = some(32), some(32), max(0, size - 64)
-        rows += [(i, head + some(between) + foot), (i + 1, head + some(between) + foot)]
-    shared = some(size + 9)
-    rows += [(300 + i, some(40) + shared + some(30)) for i in range(3)] + [(310, shared[: size - 1]), (311, shared[4 : 4 + size])]
-    seen = {}
-    for i, t in rows:
-        for k in range(len(t) - size + 1):
-            seen.setdefault(t[k : k + size], i)
-    want = {}
-    for i, t in rows:
-        gone = {j for k in range(len(t) - size + 1) if seen[t[k : k + size]] < i for j in range(k, k + size)}
-        want[i] = len(gone), hashlib.sha256("".join(c for j, c in enumerate(t) if j not in gone).encode()).hexdigest()
-    out = suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), size)
-    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in out.collect()} == want
