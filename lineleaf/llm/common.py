@@ -104,6 +104,9 @@ def written(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     path = f"{folder}/lineleaf-{uuid.uuid4().hex}"
     if scratch is not None:
         scratch.folders.append(path)
+    else:  # results are read until the application ends
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

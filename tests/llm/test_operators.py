@@ -451,9 +451,10 @@ def test_candidates_are_held_out_well():
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.9
 
 
-@pytest.mark.parametrize("size", [48, 50, 64, 65, 70, 100, 131])
-def test_repeated_strings_of_other_sizes(spark, size):
+@pytest.mark.parametrize("size", [16, 31, 40, 48, 50, 64, 65, 100, 131, 1000])
+def test_repeated_strings_of_other_sizes(spark, size, monkeypatch):
     """Texts that agree in the first and last 32 bytes of a window and differ between are no repeats."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 70)
     rng = random.Random(size)
     some = lambda n: "".join(rng.choices("abcdefghij", k=n))
     rows = []
