@@ -498,17 +498,14 @@ def repeated_strings(df: DataFrame, size: int = 50, id_col: str = "doc_id", text
     buckets = documents.groupBy("b")
     with Scratch(spark) as scratch:
         first = answers(buckets.applyInArrow(anchors, QUESTIONS))
-        asked_runs = scratch.table(buckets.cogroup(first.groupBy("b")).applyInArrow(runs, PAIRS))
-        halves = answers(asked_runs.where(f"t = {HALF}").select("b", "p", "t", "blob"))
-        halves = halves.select("*", *(F.lit(None).cast("long").alias(c) for c in ("a", "z", "low")))
-        known = scratch.table(halves.unionByName(ranked_pairs(asked_runs.where(f"t = {RUN}"), True)).select(*replies))
+        with Scratch(spark) as brief:
+            asked_runs = brief.table(buckets.cogroup(first.groupBy("b")).applyInArrow(runs, PAIRS))
+            halves = answers(asked_runs.where(f"t = {HALF}").select("b", "p", "t", "blob"))
+            halves = halves.select("*", *(F.lit(None).cast("long").alias(c) for c in ("a", "z", "low")))
+            known = scratch.table(halves.unionByName(ranked_pairs(asked_runs.where(f"t = {RUN}"), True)).select(*replies))
         for turn in range(rounds):
             rows = buckets.cogroup(known.groupBy("b")).applyInArrow(of_round(turn), PAIRS)
-            if turn + 1 == rounds:
-                found = ranked_pairs(rows.select("b", "p", "t", "a", "z", "low", "high"), True)
-                known = known.unionByName(found)
-            else:
-                known = scratch.table(known.unionByName(ranked_pairs(scratch.table(rows), False)))
+            known = known.unionByName(scratch.table(ranked_pairs(rows, turn + 1 == rounds)))  # a query of its own: its shuffle files go
         done = buckets.cogroup(known.groupBy("b")).applyInArrow(
             cleaned, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         )
