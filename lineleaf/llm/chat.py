@@ -68,23 +68,30 @@ class Template:
             turn = Turn(a + self.escape(role) + b, c)
         return [(turn.before, False), (self.escape(text), turn.loss), (turn.after, False)]
 
-    def read(self, formatted: str) -> Iterator[tuple[str, str]]:
-        """(role, text) of each turn in a formatted text."""
+    def turn_pattern(self) -> re.Pattern:
         a, b, c = map(re.escape, self.other)
         forms = [f"{re.escape(t.before)}(.*?){re.escape(t.after)}" for t in self.turns.values()]
-        whole = re.compile("|".join([*forms, f"{a}(.*?){b}(.*?){c}"]), re.S)
-        roles, at = list(self.turns), 0
-        while at < len(formatted):
-            found = whole.match(formatted, at)
-            if not found:
-                raise ValueError(f"no turn at {at}")
+        return re.compile("|".join([*forms, f"{a}(.*?){b}(.*?){c}"]), re.S)
+
+    def whole_turns(self, formatted: str, pattern: re.Pattern) -> tuple[list[tuple[str, str]], int]:
+        """(role, text) of the turns that a formatted text starts with, and where the last whole one ends."""
+        out, roles, at = [], list(self.turns), 0
+        while found := pattern.match(formatted, at):
             groups, at = found.groups(), found.end()
             for role, text in zip(roles, groups):
                 if text is not None:
-                    yield role, self.unescape(text)
+                    out.append((role, self.unescape(text)))
                     break
             else:
-                yield self.unescape(groups[-2]), self.unescape(groups[-1])
+                out.append((self.unescape(groups[-2]), self.unescape(groups[-1])))
+        return out, at
+
+    def read(self, formatted: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of each turn in a formatted text."""
+        turns, end = self.whole_turns(formatted, self.turn_pattern())
+        if end < len(formatted):
+            raise ValueError(f"no turn at {end}")
+        yield from turns
 
 
 INSTRUCT = Template(
@@ -149,21 +156,26 @@ def format_conversations(df: DataFrame, template: Template = INSTRUCT) -> DataFr
 def digest_segments(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Per conversation what can be read back from its segments, given in the order that they were made in.
 
+    Turns are found in the formatted text alone, which is read on as its segments come; what is left over at the end of a
+    conversation is an error.
     Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, complete).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"c": pa.int64(), "n": pa.int64(), "t": pa.string(), "lc": pa.int64(), "l": pa.string(), "f": pa.int64(), "v": pa.bool_(), "d": pa.bool_()}
         now: list | None = None
+        pattern = template.turn_pattern()
 
         def ended(x: list) -> tuple:
+            if x[8]:
+                raise ValueError(f"conversation {x[0]} doesn't end with a turn")
             return (x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5], x[6], x[7] in template.ends)
 
         for batch in batches:
             out: list[tuple] = []
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for conv, place, turn, segment, loss, expected, state in zip(*cols):
-                if now is None or place == 0:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for conv, segment, loss, expected, state in zip(*cols):
+                if now is None or conv != now[0]:
                     if now is not None:
                         out.append(ended(now))
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, template.start, ""]
@@ -174,17 +186,17 @@ def digest_segments(segments: DataFrame, template: Template = INSTRUCT) -> DataF
                     now[3] += len(bare)
                     now[4].update(bare.encode())
                 now[6], now[7] = now[6] and expected, state
-                if place % 3 == 2:
-                    for role, text in template.read(now[8]):
-                        now[1] += 1
-                        now[2].update(f"{role}\n{text}\n".encode())
-                    now[8] = ""
+                turns, end = template.whole_turns(now[8], pattern)
+                for role, text in turns:
+                    now[1] += 1
+                    now[2].update(f"{role}\n{text}\n".encode())
+                now[8] = now[8][end:]
             if out:
                 yield batch_of(dict(zip(types, map(list, zip(*out)))), types)
         if now is not None:
             yield batch_of(dict(zip(types, ([x] for x in ended(now)))), types)
 
-    return segments.select("conv_id", "place", "turn_no", "segment", "loss", "expected", "state").mapInArrow(
+    return segments.select("conv_id", "segment", "loss", "expected", "state").mapInArrow(
         run,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, complete boolean",
     )
