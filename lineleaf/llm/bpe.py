@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -164,6 +164,7 @@ class WordBpe:
         self.vocabulary = Vocabulary(path)
         self.encode_symbols = PrefixEncoder(self.vocabulary)
         self.packs = {i: i.to_bytes(4, "little") for i in self.vocabulary.names}
+        self.spoken = [self.vocabulary.names.get(i, "") for i in range(max(self.vocabulary.names) + 1)]
         self.specials = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         outer = self
 
@@ -181,8 +182,7 @@ class WordBpe:
                 if chunk.isalpha():
                     out = words[chunk]
                 else:
-                    found = [words[w] for w in WordBpe.WORDS.findall(chunk)]
-                    out = b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+                    out = b"".join([words[w] for w in WordBpe.WORDS.findall(chunk)])
                 if len(chunk) <= 64:
                     if len(self) >= CHUNK_CACHE:
                         self.clear()
@@ -192,9 +192,8 @@ class WordBpe:
         words = Words()
         self.chunks = Chunks()
 
-    def packed(self, ids: list[int]) -> tuple[bytes, str]:
-        names = self.vocabulary.names
-        return b"".join([self.packs[i] for i in ids]), " ".join([names[i] for i in ids])
+    def packed(self, ids: list[int]) -> bytes:
+        return b"".join([self.packs[i] for i in ids])
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -203,25 +202,20 @@ class WordBpe:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
-        ids, said = [], []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        ids = []
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.vocabulary.special:
                 ids.append(self.vocabulary.special[part].to_bytes(4, "little"))
-                said.append(part)
                 continue
             part = self.normal(part)
-            found = [
-                self.chunks[c] for c in (self.CHUNKS.findall(part) if self.ODD.search(part) else part.split())
-            ]
-            ids += [x[0] for x in found]
-            said += [x[1] for x in found]
-        return b"".join(ids), " ".join(said)
-
-    def decode(self, ids: list[int]) -> str:
+            ids += [self.chunks[c] for c in (self.CHUNKS.findall(part) if self.ODD.search(part) else part.split())]
+        return b"".join(ids)
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The tokens' names side by side; the file names no decoder."""
-        return " ".join(self.vocabulary.names[i] for i in ids)
+        return " ".join(map(self.spoken.__getitem__, ids))
 
 
 LOADED: dict[str, WordBpe] = {}
@@ -251,11 +245,12 @@ def encode_documents(
         for batch in batches:
             out: dict[str, list] = {"n": [], "ids": [], "i": [], "d": []}
             for text in batch.column(1).to_pylist():
-                ids, said = bpe.encode(text or "")
-                out["n"].append(len(ids) // 4)
-                out["ids"].append(np.frombuffer(ids, "<i4") if with_ids else None)
-                out["i"].append(hashlib.sha256(ids).hexdigest())
-                out["d"].append(hashlib.sha256(said.encode()).hexdigest())
+                packed = bpe.encode(text or "")
+                ids = np.frombuffer(packed, "<i4")
+                out["n"].append(len(ids))
+                out["ids"].append(ids if with_ids else None)
+                out["i"].append(hashlib.sha256(packed).hexdigest())
+                out["d"].append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
             yield batch_of({"id": batch.column(0)} | out, types)
 
     schema = f"id {id_type}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
