@@ -438,6 +438,16 @@ def test_pii_query_and_redaction(spark, corpus):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_long_values_are_redacted_whole():
+    m = pii.model()
+    for secret in ("0123456789abcdef" * 20, "Ab3" * 2000):
+        assert pii.redacted(f"then password={secret} was", m.spans(f"then password={secret} was")[1]) == "then password=[SECRET] was"
+    assert set(m.threshold) <= {k for k, _ in pii.GENERATORS}
+    many = " ".join(f"a{i}@b.example.com password=e3b3ed3cc85489{i}" for i in range(4000))
+    base, every = m.spans(many)
+    assert len(base) == 4000 and len(every) == 8000
+
+
 def test_candidates_are_held_out_well():
     rng, m = random.Random(77), pii.model()
     right = wrong = missed = 0
