@@ -1,14 +1,14 @@
 """Self-join of documents on the Jaccard similarity of their sets of word n-grams.
 
 The verification is a T-occurrence search with DivideSkip: per task an inverted index over the documents it
-holds; a query merges its short lists, and probes its long ones by binary search for what the merge
+holds; a query merges its short lists in a heap, and probes its long ones by binary search for what the merge
 found, keeping documents that reach the required overlap.
 
 Which documents meet in a task is found exactly, not by sampling. Documents with equal sets are one. For
 each size class the hash space is cut into more ranges than two linked sets can differ in, so at least
 one range holds the same n-grams of both: the hashes of the ranges' contents are signatures, and
 linked documents share one. The groups of documents that signatures hold together are closed under
-links. A group is dealt in blocks of at most ``BLOCK`` documents: first each block by itself, then one
+links. A group is dealt in blocks of about ``BLOCK`` documents and ``BLOCK_SHINGLES`` n-grams at most (a hash deals them): first each block by itself, then one
 document of each component found, then what is still apart block by block. Documents that are
 connected already aren't compared again, so a group of many alike documents costs in proportion to its size.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, components, map_texts, mixed, prepare, window_hashes, word_hashes, written
 
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 U = np.uint64
 
 
@@ -126,6 +127,43 @@ class Forest:
         return True
 
 
+def merged_lists(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(entry, times) of the entries that stand in at least so many of the sorted lists, by a heap of their heads.
+
+    With ``least`` above 1 the least - 1 smallest heads are popped together whenever the smallest entry can't make it,
+    and their lists skip by binary search to what the next head allows.
+    """
+    whole = [x.tolist() for x in lists if len(x)]
+    places = [0] * len(whole)
+    heap = [(x[0], i) for i, x in enumerate(whole)]
+    heapify(heap)
+    out = []
+    while len(heap) >= least and heap:
+        low, times = heap[0][0], 0
+        popped = []
+        while heap and heap[0][0] == low:
+            popped.append(heap[0][1])
+            times += 1
+            i = popped[-1]
+            places[i] += 1
+            if places[i] < len(whole[i]):
+                heapreplace(heap, (whole[i][places[i]], i))
+            else:
+                heappop(heap)
+        if times >= least:
+            out.append((low, times))
+        elif len(heap) >= least > 1:
+            # no entry before the least-th smallest head can still reach the count
+            aside = [heappop(heap) for _ in range(least - 1)]
+            bound = heap[0][0]
+            for head, i in aside:
+                if head < bound:
+                    places[i] = bisect_left(whole[i], bound, places[i])
+                if places[i] < len(whole[i]):
+                    heappush(heap, (whole[i][places[i]], i))
+    return out
+
+
 def divide_skip(
     sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None, known: list[int] | None = None
 ) -> list[tuple[int, int]]:
@@ -135,41 +173,54 @@ def divide_skip(
     """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    forest, out = Forest(), []
-    if known is not None:
-        first: dict[int, int] = {}
-        for i, c in enumerate(known):
-            forest.join(first.setdefault(c, i), i)
+    out: list[tuple[int, int]] = []
+    label = np.arange(len(sets)) if known is None else np.unique(np.array(known), return_inverse=True)[1]
     grams, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     docs = np.repeat(np.arange(len(sets)), sizes)
     keys = np.sort(tokens.astype(np.int64) * len(sets) + docs)  # the lists one after another, each in order
     heads = np.searchsorted(keys, np.arange(len(grams) + 1) * len(sets))
-    lengths = np.diff(heads)
+    places, lengths = keys % len(sets), np.diff(heads)
     rank = np.empty(len(sets), np.int64)
     rank[order] = np.arange(len(sets))
-    for q in order:
+    latest: dict[int, int] = {}  # of each component the last document that was a query
+
+    def held(grams_of_q: np.ndarray, c: int) -> int:
+        probe = grams_of_q.astype(np.int64) * len(sets) + c
+        at = np.searchsorted(keys, probe)
+        return int((keys[np.minimum(at, len(keys) - 1)] == probe).sum())
+
+    def join(c: int, q: int) -> None:
+        latest.pop(int(label[c]), None)
+        label[label == label[c]] = label[q]
+        out.append((c, q))
+
+    for q in map(int, order):
         own = tokens[ends[q] : ends[q + 1]]
         n = len(own)
-        least = -(-percent * n // 100)  # the smallest overlap with any linked set
-        by_length = own[np.argsort(lengths[own], kind="stable")]
-        longest = int(lengths[by_length[-1]])
-        n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, longest)) + 1)))
-        short, long = by_length[: n - n_long], by_length[n - n_long :]
-        runs = np.concatenate([keys[heads[t] : heads[t + 1]] for t in short]) % len(sets)
-        found, times = np.unique(runs, return_counts=True)  # merges the runs
-        fits = (times >= least - n_long) & (rank[found] < rank[q]) & (100 * sizes[found] >= percent * n)
+        # a group of many alike documents is one component soon: then one probe does for a document
+        for c in list(latest.values())[:-9:-1]:
+            if label[c] != label[q] and (apart is None or apart[c] != apart[q]):
+                shared = held(own, c)
+                if 100 * shared >= percent * (n + int(sizes[c]) - shared):
+                    join(c, q)
+        wanted = (label != label[q]) & (rank < rank[q]) & (100 * sizes >= percent * n)
         if apart is not None:
-            fits &= apart[found] != apart[q]
-        for c, t in zip(found[fits].tolist(), times[fits].tolist()):
-            if forest.find(c) == forest.find(int(q)):
-                continue
-            probe = long.astype(np.int64) * len(sets) + c
-            at = np.searchsorted(keys, probe)
-            shared = t + int((keys[np.minimum(at, len(keys) - 1)] == probe).sum())
-            if 100 * shared >= percent * (n + int(sizes[c]) - shared):
-                forest.join(c, int(q))
-                out.append((c, int(q)))
+            wanted &= apart != apart[q]
+        if wanted.any():
+            least = -(-percent * n // 100)  # the smallest overlap with any linked set
+            by_length = own[np.argsort(lengths[own], kind="stable")]
+            longest = int(lengths[by_length[-1]])
+            n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, longest)) + 1)))
+            short, long = by_length[: n - n_long], by_length[n - n_long :]
+            lists = [x[wanted[x]] for x in (places[heads[t] : heads[t + 1]] for t in short)]
+            for c, times in merged_lists(lists, least - n_long):
+                if label[c] != label[q]:
+                    shared = times + held(long, c)
+                    if 100 * shared >= percent * (n + int(sizes[c]) - shared):
+                        join(c, q)
+        latest.pop(int(label[q]), None)
+        latest[int(label[q])] = q
     return out
 
 
@@ -300,8 +351,9 @@ def links(df: DataFrame, rows: DataFrame, shared: DataFrame, scratch: Scratch, i
     firsts_of = needed.groupBy("g").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").select("g", "a")
     pairs = needed.join(firsts_of, "g").where("s <> a").select("a", F.col("s").alias("b")).distinct()
     groups = components(pairs).select(F.col("id").alias("s"), F.col("component").alias("group"))
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    firsts = sets.where("id is not null and s is not null").groupBy("s").agg(F.min("id").alias("id"))
+    firsts = sets.where("id is not null and s is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    most = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))
+    sizes = groups.join(firsts, "s").groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
     chosen = (
         groups.join(sizes, "group")
         .join(firsts, "s")
