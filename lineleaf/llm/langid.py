@@ -5,13 +5,15 @@ words are learned with them. Forward-backward gives every word its label probabi
 code-switched texts are labelled word by word; a document's language is the one with the largest
 expected share of words.
 
-Training sees at most ``DOCUMENTS_A_LANGUAGE`` documents of each of at most ``MOST_LANGUAGES`` languages
-(the most frequent), chosen by a hash of the id, and from each at most ``WORDS_A_DOCUMENT`` words at a
-random place; spans of them are joined into sequences that switch language. Only text and label are used.
+Training sees every language: at most ``DOCUMENTS_A_LANGUAGE`` documents of each and about ``MOST_DOCUMENTS`` in all (one
+of each language at least), chosen by a hash of the id, and from each at most ``WORDS_A_DOCUMENT`` words out of
+``WINDOW`` characters at a place that a hash gives; spans of them are joined into sequences that switch language. Only
+text and label are used.
 
 Defined cases: a null text, or one without letters, has the language ``und`` and score 0; so has every text
 if there is nothing to learn from; texts are read whole, the words of a batch laid out in rows of a
-fixed length whose transfer matrices are multiplied up, so a very long text costs no more per word;
+fixed length whose transfer matrices are multiplied up, so a very long text costs no more per word; texts are
+taken together up to ``MATRICES`` matrix entries, and a longer text alone takes the square of the languages for each row;
 ties go to the first language in order; repeated rows give repeated results; an empty table gives an
 empty one; further columns are ignored.
 """
@@ -26,12 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_texts
+from .common import batch_of, map_texts, written
 
-DOCUMENTS_A_LANGUAGE, MOST_LANGUAGES, WORDS_A_DOCUMENT, MOST_CHARS = 250, 64, 200, 50_000
+DOCUMENTS_A_LANGUAGE, MOST_DOCUMENTS, WORDS_A_DOCUMENT, WINDOW = 250, 20_000, 200, 8_000
+MATRICES = 2_000_000
 DIMENSIONS, SEQUENCES, LENGTH, EPOCHS, ROW = 1 << 16, 3000, 40, 3, 64
 WORD_CACHE, CHUNK_CACHE = 300_000, 300_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -43,7 +46,7 @@ def bare(chunk: str) -> str:
 
 
 def feature_ids(word: str) -> list[int]:
-    """Hashed affixes, n-grams and the word itself; long words by their two ends and a stride of n-grams."""
+    """Hashed affixes, all n-grams and, if it isn't long, the word itself."""
     w = f"^{word}$"
     parts = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3, 4)]
     parts += [w[i : i + 3] for i in range(len(w) - 2)]
@@ -107,6 +110,18 @@ class Emissions:
 
 def shares(moves: np.ndarray, table: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """For each text (rows of the potentials of its words; at least one) the mean label probabilities."""
+    most = max(1, MATRICES // len(moves) ** 2)
+    out, own, rows = [], [], 0
+    for text in texts:
+        if own and rows + len(text) // ROW + 1 > most:
+            out.append(shares_together(moves, table, own))
+            own, rows = [], 0
+        own.append(text)
+        rows += len(text) // ROW + 1
+    return np.concatenate([*out, shares_together(moves, table, own)])
+
+
+def shares_together(moves: np.ndarray, table: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     n = len(moves)
     step = np.exp(moves - moves.max())
     counts = np.array([len(t) for t in texts])
@@ -262,25 +277,32 @@ def learned(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Crf |
     """A model from a bounded sample of the labelled rows that aren't held out."""
     usable = df.where(
         F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))
-        & (F.length(text_col) <= MOST_CHARS)
     )
-    found = usable.groupBy(F.col(label_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
-    rows: list[tuple[str, str]] = []
+    label, text = F.col(label_col).alias("l"), F.col(text_col)
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    if found:
-        wanted = F.lit(False)
-        for r in found:
-            limit = int(min(1.0, 1.2 * DOCUMENTS_A_LANGUAGE / r["count"]) * (1 << 30))
-            wanted = wanted | ((F.col(label_col) == r["l"]) & (place < limit))
-        most = int(1.5 * DOCUMENTS_A_LANGUAGE) * len(found)
-        sample = usable.where(wanted).select(F.col(label_col).alias("l"), F.col(text_col).alias("t"), place.alias("p"), F.col(id_col).cast("string").alias("i"))
-        picked = sample.orderBy("p", "i", "t").limit(most).collect()
-        taken: Counter = Counter()
-        for r in picked:
-            taken[r["l"]] += 1
-            if taken[r["l"]] <= DOCUMENTS_A_LANGUAGE:
-                rows.append((r["l"], r["t"]))
-    return fit(rows)
+    found = written(usable.groupBy(label).count())
+    languages = found.count()
+    each = max(1, min(DOCUMENTS_A_LANGUAGE, MOST_DOCUMENTS // max(1, languages)))
+    share = found.select("l", F.least(F.lit(1.0), F.lit(1.5 * each + 20) / F.col("count")).alias("share"))
+    start = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)).cast("int") + 1
+    some = usable.select(
+        label, place.alias("p"), F.col(id_col).cast("string").alias("i"), F.length(text).alias("n"), start.alias("at"), F.substr(text, start, F.lit(WINDOW)).alias("t")
+    )
+    # one row a language
+    near = some.join(F.broadcast(share), "l").where(F.col("p") < F.col("share") * (1 << 30))
+    first = Window.partitionBy("l").orderBy("p", "i", "t")
+    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).orderBy("l", "k").collect()
+    return fit([(r["l"], inner_words(r["t"], r["at"] > 1, r["at"] + WINDOW <= r["n"])) for r in picked])
+
+
+def inner_words(text: str, cut_before: bool, cut_after: bool) -> str:
+    """Without the words that the window cuts, if there are others."""
+    chunks = text.split()
+    if cut_before and len(chunks) > 2:
+        chunks = chunks[1:]
+    if cut_after and len(chunks) > 2:
+        chunks = chunks[:-1]
+    return " ".join(chunks)
 
 
 def predict_languages(
@@ -289,7 +311,7 @@ def predict_languages(
     """One row per input row: (id, held_out, lang_pred, score, lang_shares). No shuffle."""
     id_type = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by DIMENSIONS, MOST_LANGUAGES and the sample
+    shared = spark.sparkContext.broadcast(model)  # bounded by DIMENSIONS times the languages, and the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
