@@ -214,8 +214,26 @@ def test_budgets_go_to_siblings_first():
     assert mixing.shared_out(10, [5, 5], [0, 1]) == [0, 5]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_planned_leaves_against_the_recursive_budgets(spark, seed):
+    rng = random.Random(seed)
+    some = lambda p: rng.choice([None, *(f"{p}{i}" for i in range(4))])
+    available = {(some("d"), some("l"), some("s")): float(rng.choice([1, 7, 50, 400])) for _ in range(60)}
+    weights = {}
+    for leaf in available:
+        for depth in (1, 2, 3):
+            if rng.random() < 0.4:
+                weights[leaf[:depth]] = rng.choice([0, 0.5, 2, 3.3])
+    m = mixing.Mixture(weights=weights, epochs=rng.choice([1, 2]), seed=1)
+    leaves = spark.createDataFrame([(*k, int(v)) for k, v in available.items()], "p_d string, p_l string, p_s string, total long")
+    for budget in (0, 10, 700, 2500, 10**6):
+        want = mixing.budgets(available, budget, m)
+        got = {(r.p_d, r.p_l, r.p_s): r.p_whole * available[r.p_d, r.p_l, r.p_s] + r.p_rest for r in mixing.planned_leaves(leaves, budget, m).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
 @pytest.mark.parametrize("epochs,share", [(1, 0.6), (3, 1.7), (2, 5.0)])
-def test_mixing_against_brute_force(spark, corpus, epochs, share):
+def test_mixing_against_brute_force(spark, corpus, epochs, share, monkeypatch):
     m = mixing.Mixture(weights={("d1",): 2.0}, epochs=epochs, seed=3)
     df = table(spark, corpus)
     out = mixing.of_documents(df, m, share)
@@ -242,6 +260,9 @@ def test_mixing_against_brute_force(spark, corpus, epochs, share):
             break
     key = lambda t: [(x is not None, str(x)) for x in t]
     assert collected(out, "mix_domain", "mix_language", "mix_source", "mix_tokens", "mix_epoch") == sorted(want, key=key)
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    salted = mixing.of_documents(df, m, share)
+    assert collected(salted, "doc_id", "text", "mix_source", "mix_epoch") == collected(out, "doc_id", "text", "mix_source", "mix_epoch")
     assert mixing.of_documents(df.limit(0), m, share).count() == 0
 
 
@@ -270,6 +291,20 @@ def test_language_model(spark):
     assert langid.identify_languages(df.limit(0)).count() == 0
 
 
+def test_language_sample_takes_every_label_and_long_texts(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = [["".join(rng.choices(letters, k=3)) + f"{letters[k % 26]}{letters[k // 26]}" for _ in range(6)] for k in range(66)]
+    make = lambda k, n: " ".join(rng.choice(parts[k]) for _ in range(n))
+    rows = [(100 * k + j, make(k, 12_000 if k == 65 else 40), f"l{k:02}", "s") for k in range(66) for j in range(4)]
+    model = langid.learned(table(spark, rows), "doc_id", "text", "lang")
+    import zlib
+
+    assert model.languages == sorted({k for i, _, k, _ in rows if zlib.crc32(str(i).encode()) % 5})
+    texts = [(1, make(65, 50), None, None), (2, make(3, 50), None, None)]
+    assert {r.doc_id: r.lang_pred for r in langid.predict_languages(table(spark, texts), model).collect()} == {1: "l65", 2: "l03"}
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
