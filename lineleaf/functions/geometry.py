@@ -27,19 +27,26 @@ def margin_sides(value: Column) -> Column:
     )
 
 
-def y_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    low = F.greatest(a["y0"], b["y0"])
-    high = F.least(a["y1"], b["y1"])
-    return F.greatest(F.lit(0), high - low) / F.greatest(F.lit(1), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]))
-
-
-def pair_score(a: dict[str, Column], b: dict[str, Column], page_w: Column, gap_weight: float = 0.4, width_weight: float = 0.6, cap: float = 0.15) -> Column:
-    """How well two boxes on one height fit together: nearness, and unlikeness of their widths."""
-    gap = F.greatest(F.lit(0), F.greatest(a["x0"], b["x0"]) - F.least(a["x1"], b["x1"])) / page_w
-    near = F.greatest(F.lit(0.0), 1 - gap / F.lit(cap))
-    wa, wb = a["x1"] - a["x0"], b["x1"] - b["x0"]
-    unlike = 1 - F.least(wa, wb) / F.greatest(F.lit(1), F.greatest(wa, wb))
-    return y_overlap(a, b) * (F.lit(gap_weight) * near + F.lit(width_weight) * unlike)
+def fit_along(a: dict[str, Column], b: dict[str, Column], along: str, across: str, length: Column, gap_weight: float, size_weight: float, cap: float) -> Column:
+    """How well two boxes side by side along one axis fit together: overlap across, times nearness and unlikeness of size."""
+    low, high = f"{along}0", f"{along}1"
+    shared = F.greatest(F.lit(0), F.least(a[f"{across}1"], b[f"{across}1"]) - F.greatest(a[f"{across}0"], b[f"{across}0"]))
+    union = F.greatest(a[f"{across}1"], b[f"{across}1"]) - F.least(a[f"{across}0"], b[f"{across}0"])
+    overlap = F.when(union > 0, shared / union).otherwise(0.0)
+    gap = F.greatest(F.lit(0), F.greatest(a[low], b[low]) - F.least(a[high], b[high]))
+    near = F.greatest(F.lit(0.0), 1 - F.when(length > 0, gap / length).otherwise(0.0) / F.lit(max(cap, 1e-6)))
+    sizes = [F.greatest(F.lit(0), x[high] - x[low]) for x in (a, b)]
+    unlike = F.when(F.greatest(*sizes) > 0, 1 - F.least(*sizes) / F.greatest(*sizes)).otherwise(0.0)
+    return overlap * (F.lit(gap_weight) * near + F.lit(size_weight) * unlike)
+
+
+def pair_score(
+    a: dict[str, Column], b: dict[str, Column], page_w: Column, page_h: Column, gap_weight: float = 0.4, width_weight: float = 0.6, cap: float = 0.15, bonus: float = 0.0
+) -> Column:
+    """How well two boxes merge: the better of side by side and one above the other, and a bonus for contrast."""
+    beside = fit_along(a, b, "x", "y", page_w, gap_weight, width_weight, cap)
+    stacked = fit_along(a, b, "y", "x", page_h, gap_weight, width_weight, cap)
+    return F.greatest(beside, stacked) + F.lit(bonus)
 
 
 def line_through(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -116,7 +123,7 @@ def warp_extent(h: Column, w: Column, height: Column) -> Column:
 
 
 #: Shapes (spans, points) that a batched fit is padded to.
-BUCKETS = ((16, 512), (24, 768), (32, 1024), (40, 1536), (48, 2048), (64, 3072))
+BUCKETS = ((30, 1300), (40, 1700), (55, 2300), (75, 3100), (95, 4200), (120, 6000))
 
 
 def pick_bucket(spans: Column, points: Column) -> Column:

@@ -75,8 +75,9 @@ def norm_running(text: Column) -> Column:
 
 
 def is_page_number(text: Column) -> Column:
-    """Only digits or a roman number, marks around them aside."""
-    return F.rlike(text, F.lit(r"^[\s\-–—.\[\]()]*(\d{1,4}|[ivxlcdmIVXLCDM]{1,7})[\s\-–—.\[\]()]*$"))
+    """At most 12 characters, only digits, letters of roman numbers and light marks, one of them no mark."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.rlike(bare, F.lit(r"^[\p{Nd} IVXLCDMivxlcdm.—\-–()\[\]]{1,12}$")) & F.rlike(bare, F.lit(r"[\p{L}\p{Nd}]"))
 
 
 def list_marker(text: Column) -> Column:

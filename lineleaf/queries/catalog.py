@@ -280,7 +280,7 @@ ORACLE_SQL = {
     "soft_delete": "select c_custkey, case when c_acctbal < 0 then '2024-01-01T00:00:00' end as deleted_at from customer",
     "rename_steps": "select p_partkey, lpad(cast(p_partkey % 100 as varchar), 2, '0') || case when p_partkey % 3 = 0 then '_page' else '_dewarp' end as step from part",
     "recent_first": "select o_orderkey, coalesce(case when o_orderkey % 2 = 0 then o_orderdate end, timestamp '1990-01-01') as opened from orders order by opened desc, o_orderkey limit 50",
-    "case_insensitive_order": "select s_suppkey, lower(s_name) as name from supplier order by name, s_suppkey limit 20",
+    "case_insensitive_order": "select s_suppkey, lower(s_name) as name from supplier order by name, s_suppkey",
     "max_over_chosen": f"with branches as ({BRANCHES}) select coalesce(max(l_quantity), 0.0) as max_dpi from branches join lineitem on l_orderkey = o_orderkey and l_suppkey = chosen",
     "latest_json_or_null": "with top as (select user_id, props from events where event_type = 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) select u.user_id, cast(json_extract_string(props, '$.k') as int) as k from (select distinct user_id from events) u left join top using (user_id)",
     "positional_splice": "select conv_id, k - 1 as place, turn as left_value, case when k <= 2 then turn else -1 end as right_value from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k from conversations)",

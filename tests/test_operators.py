@@ -34,7 +34,7 @@ def test_line_predicates(spark):
     assert texts(spark, T.looks_continuation, ["and so", "And", "  ; x", "élan", ""]) == [True, False, True, True, False]
     assert texts(spark, T.looks_bold, ["THE END", "THE", "The END", "A" * 70 + " B"]) == [True, False, False, False]
     assert texts(spark, T.looks_heading, ["CHAPTER ONE", "CHAPTER ONE.", "chapter", "12"]) == [True, False, False, False]
-    assert texts(spark, T.is_page_number, ["12", "- xiv -", "page 3", "12345", ""]) == [True, True, False, False, False]
+    assert texts(spark, T.is_page_number, ["12", "- xiv -", "page 3", "12345", "", " [12] ", "(...)", "1234567890123"]) == [True, True, False, True, False, True, False, False]
     assert texts(spark, T.list_marker, ["• one", "1. two", "a) three", "IV. four", "- five", "six"]) == ["one", "two", "three", "four", None, None]
     assert texts(spark, T.norm_running, ["The  Life, 12", "— 3 —"]) == ["the life", ""]
     assert texts(spark, T.is_degenerate, ["no no no no", "a b c d", None, "x"]) == [True, False, False, False]
@@ -82,7 +82,7 @@ def test_geometry_columns(spark):
     assert one(spark, G.warp_extent(G.scaling(F.lit(2.0), F.lit(3.0)), F.lit(10.0), F.lit(5.0))) == [0, 0, 20, 15]
     assert one(spark, G.mm_to_px(F.lit(10.0), F.lit(300))) == 118 and one(spark, G.margin_sides(F.lit("1,2,3"))) is None
     assert one(spark, G.scale_box(F.array(*map(F.lit, (0, 0, 999, 999))), F.lit(1000), F.lit(500))) == [0, 0, 1000, 500]
-    assert one(spark, G.pick_bucket(F.lit(33), F.lit(1126))) == 3 and one(spark, G.pick_bucket(F.lit(99), F.lit(1))) is None
+    assert one(spark, G.pick_bucket(F.lit(33), F.lit(1126))) == 1 and one(spark, G.pick_bucket(F.lit(121), F.lit(1))) is None
 
 
 def test_relational_edges(spark):

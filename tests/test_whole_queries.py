@@ -83,10 +83,14 @@ def test_pair_score_takes_every_pair(spark, tmp_path):
     boxes = {(k, n): (int(p) % 800, int(p) % 800 + int(q) + 1, i % 50, i % 50 + 20) for k, n, p, q, i in rows}
 
     def score(a, c):
-        overlap = max(0, min(a[3], c[3]) - max(a[2], c[2])) / max(1, min(a[3] - a[2], c[3] - c[2]))
-        near = max(0.0, 1 - max(0, max(a[0], c[0]) - min(a[1], c[1])) / 1000 / 0.15)
-        wide = [x[1] - x[0] for x in (a, c)]
-        return math.floor(overlap * (0.4 * near + 0.6 * (1 - min(wide) / max(1, *wide))) * 10_000 + 1e-6)
+        def fit(a0, a1, c0, c1, length, p0, p1, q0, q1):
+            overlap = max(0, min(p1, q1) - max(p0, q0)) / (max(p1, q1) - min(p0, q0))
+            near = max(0.0, 1 - max(0, max(a0, c0) - min(a1, c1)) / length / 0.15)
+            return overlap * (0.4 * near + 0.6 * (1 - min(a1 - a0, c1 - c0) / max(a1 - a0, c1 - c0)))
+
+        beside = fit(*a[:2], *c[:2], 1000, *a[2:], *c[2:])
+        stacked = fit(*a[2:], *c[2:], 100, *a[:2], *c[:2])
+        return math.floor(max(beside, stacked) * 10_000 + 1e-6)
 
     want = {(k, a, c): score(boxes[k, a], boxes[k, c]) for k, v in orders.items() for a in v for c in v if a < c}
     got = catalogue.QUERIES["pair_score"](spark, d).collect()
