@@ -281,3 +281,9 @@ def time_ago(at: Column, now: Column) -> Column:
         .when(seconds < 365 * 86_400, said(seconds / (30 * 86_400), "month"))
         .otherwise(said(seconds / (365 * 86_400), "year"))
     )
+
+
+def is_lone_token(text: Column) -> Column:
+    """A line that isn't worth a second reading: blank, digits but for . and , or one token without a space."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return (bare == "") | F.rlike(F.regexp_replace(bare, "[.,]", ""), F.lit(r"^\p{Nd}+$")) | ~bare.contains(" ")
