@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import logs as L
+from ..functions import projective as P
 from ..functions import text as T
 from ..operators import rewrites as W
 from .catalog import load
@@ -167,8 +169,7 @@ def key_lookup(s, d):
 
 def kind_of_name(s, d):
     name = F.concat("url", F.element_at(F.array(*map(F.lit, (".pdf", ".ZIP", ".aglbundle", ".png"))), (F.col("page_id") % 4 + 1).cast("int")))
-    low = F.lower(name)
-    return load(s, d, "pages").select("page_id", F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".zip") | low.endswith(".aglbundle"), "bundle").alias("kind"))
+    return load(s, d, "pages").select("page_id", L.kind_of_name(name).alias("kind"))
 
 
 def projects_by_opening(s, d):
@@ -184,7 +185,7 @@ def projects_by_opening(s, d):
 
 
 def jobs_listed(s, d):
-    created = F.when(F.col("event_id") % 3 > 0, F.date_format(F.timestamp_seconds(F.col("event_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss+00:00")).otherwise("")
+    created = F.when(F.col("event_id") % 3 > 0, L.iso_seconds(F.col("event_id") * 3600)).otherwise("")
     status = F.when(F.col("event_type") == "view", "pending").otherwise(F.lower("event_type"))
     return load(s, d, "events").select("event_id", status.alias("status"), created.alias("created_at"))
 
@@ -236,8 +237,7 @@ def mode_of_values(s, d):
 def median_tilt(s, d):
     """Median absolute angle of baselines that are at least 4 long; 0 without any."""
     x = load(s, d, "lineitem").select("l_suppkey", (F.col("l_quantity") - 20).alias("dx"), (F.col("l_partkey") % 9 - 4).alias("dy"))
-    angle = F.when(F.abs("dx") >= 4, F.abs(F.degrees(F.atan2("dy", "dx"))))
-    return x.groupBy("l_suppkey").agg(F.round(F.coalesce(F.percentile(angle, F.lit(0.5)), F.lit(0.0)), 6).alias("tilt"))
+    return x.groupBy("l_suppkey").agg(F.round(P.median_tilt(F.col("dx"), F.col("dy")), 6).alias("tilt"))
 
 
 def not_worth_reading(s, d):

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.logs import layer_bytes
 from ..operators.kernels import PAGES
 from ..runtime import ship_package
 
@@ -177,8 +178,8 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def pdf_text_lines(lines: DataFrame, page_h: Column, dpi: Column) -> DataFrame:
-    """The hidden text layer of each line: font size, and baseline in points from the page's foot."""
+    """The hidden text layer of each line: font size, baseline in points from the page's foot, and the string's bytes."""
     pt = F.lit(72.0) / dpi
     height = F.col("y1") - F.col("y0")
     safe = F.regexp_replace(F.col("line"), r"([\\()])", r"\\$1")
-    return lines.select("*", F.greatest(F.lit(2.0), height * pt * 0.85).alias("size"), (F.col("x0") * pt).alias("x"), ((page_h - F.col("y1")) * pt).alias("y"), safe.alias("escaped"))
+    return lines.select("*", F.greatest(F.lit(2.0), height * pt * 0.85).alias("size"), (F.col("x0") * pt).alias("x"), ((page_h - F.col("y1")) * pt).alias("y"), safe.alias("escaped"), layer_bytes(F.col("line")).alias("layer"))
