@@ -216,22 +216,6 @@ def inline_marks(text: Column, marks: Column) -> Column:
     return F.regexp_replace(put, " {2,}", " ")
 
 
-def is_degenerate(text: Column, repeats: int = 4) -> Column:
-    """One word said over and over, at least ``repeats`` times in a row and more than half of the text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    longest = F.aggregate(
-        words,
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
-        lambda a, w: F.struct(
-            w.alias("last"),
-            F.when(a["last"] == w, a["run"] + 1).otherwise(F.lit(1)).alias("run"),
-            F.greatest(a["most"], F.when(a["last"] == w, a["run"] + 1).otherwise(F.lit(1))).alias("most"),
-        ),
-        lambda a: a["most"],
-    )
-    return (longest >= repeats) & (longest * 2 > F.size(words))
-
-
 #: Writing systems by language code; the common ones.
 SCRIPTS = {
     "en": ["Latin"], "fr": ["Latin"], "de": ["Latin"], "es": ["Latin"], "it": ["Latin"], "la": ["Latin"],

@@ -71,9 +71,11 @@ def export_by_page_order(s, d):
 
 
 def export_step_excluding_trashed(s, d):
-    trashed = load(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("").alias("label"))
-    steps = load(s, d, "lineitem").where("l_linenumber = 2").withColumn("label", F.coalesce(F.when(F.lit(False), "x"), F.lit("")))
-    return steps.join(trashed, ["l_orderkey", "label"], "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """Steps have no label, A or B by supplier; an order trashes its branch of the label that its customer gives."""
+    label = lambda key: F.coalesce(F.when(key % 3 > 0, F.element_at(F.array(F.lit("A"), F.lit("B")), (key % 3).cast("int"))), F.lit("")).alias("label")
+    trashed = load(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), label(F.col("o_custkey")))
+    steps = load(s, d, "lineitem").where("l_linenumber = 2").select("l_orderkey", label(F.col("l_suppkey")))
+    return steps.join(trashed, ["l_orderkey", "label"], "left_anti").groupBy("l_orderkey", "label").agg(F.count("*").alias("n"))
 
 
 def stale_recompute(s, d):
@@ -254,7 +256,7 @@ ORACLE_SQL = {
     "never_processed": "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
     "active_export_set": EXPORT,
     "export_by_page_order": f"select p_size, o_custkey, o_orderkey from ({EXPORT})",
-    "export_step_excluding_trashed": "select l_orderkey, count(*) as n from lineitem where l_linenumber = 2 and not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'P') group by 1",
+    "export_step_excluding_trashed": "select l_orderkey, ['', 'A', 'B'][l_suppkey % 3 + 1] as label, count(*) as n from lineitem where l_linenumber = 2 and not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'P' and o_custkey % 3 = l_suppkey % 3) group by all",
     "stale_recompute": "select l_orderkey, cast(sum(case when l_suppkey = o_orderkey % 10 and o_orderstatus <> 'P' then 0 else 1 end) as bigint) as n_stale, count(*) as n_runs from lineitem left join orders on o_orderkey = l_orderkey where l_linestatus = 'F' group by 1",
     "engine_switch_stale": "select l_returnflag, l_linestatus, cast(sum(case when l_linestatus = 'F' and l_returnflag <> 'R' then 1 else 0 end) as bigint) as n_switched from lineitem group by all",
     "orphan_gc": "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) and not exists (select 1 from documents p where p.doc_id // 2 = d.doc_id)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import document as D
+from ..operators import ocr as O
 from .catalog import load
 
 LINES_SQL = "(select doc_id, source, generate_subscripts(l, 1) - 1 as pos, unnest(l) as line from (select doc_id, source, string_split(text, chr(10)) as l from documents))"
@@ -46,8 +47,8 @@ def script_anomaly(s, d):
 
 
 def degenerate_loop(s, d):
-    x = lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(F.regexp_replace("line", r"^\s*\d+[.)]\s*", "")).alias("u"))
-    return x.select("doc_id", ((F.col("n") >= 8) & (F.col("u") * 2 < F.col("n"))).alias("loops"))
+    """Texts as answers to a block whose source had as many lines as the number's remainder by 20."""
+    return load(s, d, "documents").select("doc_id", O.loops(F.col("text"), F.col("doc_id") % 20).alias("loops"))
 
 
 def running_heads(s, d):
@@ -82,11 +83,11 @@ def reading_order(s, d):
 
 
 def paragraph_merge(s, d):
-    c = load(s, d, "conversations").select("conv_id", "turn", T.is_terminated(F.col("text")).alias("ends"), T.looks_continuation(F.col("text")).alias("goes_on"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("new", ~(F.coalesce(~F.lag("ends").over(w), F.lit(False)) & F.col("goes_on")))
-    c = c.withColumn("para", F.sum(F.col("new").cast("long")).over(w))
-    return c.groupBy("conv_id", "para").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+    """Turns of a conversation as pages with one paragraph each; every fifth is a quote."""
+    c = load(s, d, "conversations")
+    kind = F.when(F.col("turn") % 5 == 0, "quote").otherwise("para")
+    own = (~T.is_terminated(F.col("text"))).alias("open_end"), T.looks_continuation(F.col("text")).alias("open_start")
+    return D.merge_paragraphs(c.select("conv_id", "turn", F.lit(0).alias("no"), kind.alias("kind"), F.lit(0).alias("level"), "text", *own), "conv_id", "turn")
 
 
 def mark_pages(s, d):
@@ -178,7 +179,7 @@ ORACLE_SQL = {
     "line_signature": f"select doc_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '\\d+', '', 'g'), '[^\\p{{L}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as signature from {LINES_SQL}",
     "html_strip": "select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as text from pages",
     "script_anomaly": "select doc_id, len(regexp_extract_all(text, '[\\p{Greek}\\p{Cyrillic}\\p{Hebrew}\\p{Arabic}\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}]')) >= 2 as odd from documents",
-    "degenerate_loop": f"select doc_id, count(*) >= 8 and 2 * count(distinct regexp_replace(line, '^\\s*\\d+[.)]\\s*', '')) < count(*) as loops from {LINES_SQL} group by 1",
+    "degenerate_loop": f"select doc_id, coalesce(n >= 8 and (n > greatest(8, doc_id % 20 * 3) or 2 * u < n), false) as loops from documents left join (select doc_id, count(*) as n, count(distinct regexp_replace(line, '^\\s*(?:\\d+|[a-z])[.)]\\s*', '')) as u from {LINES_SQL} where trim(line, ' ') <> '' group by 1) using (doc_id)",
     "running_heads": f"""with b as (select source, doc_id, pos, {SIGNATURE} as sig, {PAGE_NUMBER.format(STRIPPED)} as num, y0, row_number() over w as k, count(*) over (partition by doc_id) as n, greatest(1, max(y0 + h) over (partition by doc_id)) as page_h from {BOXED} window w as (partition by doc_id order by pos)),
       c as (select source, sig, count(*) filter (where k <= 2) as a, count(*) filter (where k > n - 2) as z from b where sig <> '' and source in (select source from b group by 1 having count(distinct doc_id) >= 3) group by all),
       e as (select b.*, k <= 2 or y0 < 0.1 * page_h as top, k > n - 2 or y0 > 0.9 * page_h as low, coalesce(a, 0) >= 3 as in_top, coalesce(z, 0) >= 3 as in_low from b left join c using (source, sig))
@@ -200,7 +201,12 @@ ORACLE_SQL = {
       k as (select *, row_number() over (partition by source order by c desc, g desc) as k from t),
       l as (select source, c, k, least(3, max(greatest(k, case when c >= 1.7 then 1 when c >= 1.35 then 2 else 3 end)) over (partition by source order by k)) as level from k)
       select source, doc_id, cast(coalesce((select level from l where l.source = a.source order by abs(c - a.ratio), k limit 1), 2) as bigint) as level from a""",
-    "paragraph_merge": "with c as (select conv_id, turn, regexp_replace(text, '[\\s\"'')\\]»”’]*$', '') as b, regexp_matches(text, '^\\s*(\\p{Ll}|[),;»”’])') as goes_on from conversations), e as (select *, b = '' or right(b, 1) in ('.', '!', '?', '…', ':') as ends from c), n as (select *, not (coalesce(not lag(ends) over w, false) and goes_on) as new from e window w as (partition by conv_id order by turn)), p as (select *, sum(new::int) over (partition by conv_id order by turn) as para from n) select conv_id, cast(para as bigint) as para, count(*) as n, min(turn) as first_turn from p group by all",
+    "paragraph_merge": """with c as (select conv_id, turn, text, case when turn % 5 = 0 then 'quote' else 'para' end as kind, regexp_replace(text, '[\\s\"'')\\]»”’]*$', '') as b, regexp_matches(text, '^\\s*(\\p{Ll}|[),;»”’])') as goes_on from conversations),
+      e as (select *, b = '' or right(b, 1) in ('.', '!', '?', '…', ':') as ends from c),
+      n as (select *, not coalesce(not lag(ends) over w and goes_on and lag(kind) over w = kind, false) as new from e window w as (partition by conv_id order by turn)),
+      p as (select *, sum(new::int) over (partition by conv_id order by turn) as block from n),
+      q as (select *, lead(text) over w as after, case when row_number() over w = 1 then text else ltrim(text, ' ') end as own from p window w as (partition by conv_id, block order by turn))
+      select conv_id, cast(block as bigint) as block, min_by(kind, turn) as kind, 0 as level, string_agg(case when after is null then own when regexp_matches(rtrim(own, ' '), '\\p{L}[-¬]\\s*$') and regexp_matches(ltrim(after, ' '), '^\\p{Ll}') then regexp_replace(rtrim(own, ' '), '[-¬]$', '') else rtrim(own, ' ') || ' ' end, '' order by turn) as text from q group by 1, 2""",
     "mark_pages": f"select doc_id, cast(part as bigint) as part, count(*) as n from (select doc_id, sum(contains(line, 'License')::int) over (partition by doc_id order by pos) as part from {LINES_SQL}) group by all",
     "word_overlap_dice": "with a as (select k, w, count(*) as n from (select doc_id as k, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by all), b as (select k, w, count(*) as n from (select item_id as k, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark) group by all), c as (select k, sum(least(a.n, b.n)) as c from a join b using (k, w) group by 1) select k, round(2 * coalesce(c, 0) / (m + n), 6) as dice from (select k, sum(n) as m from b group by 1) join (select k, sum(n) as n from a group by 1) using (k) left join c using (k)",
     "mm_to_px": "select l_suppkey, cast(sum(round_even(l_quantity * 300 / 25.4, 0)) as bigint) as px from lineitem group by 1",
@@ -235,7 +241,6 @@ QUERIES = {
     "line_page_number": predicate(T.is_page_number, "page_number"),
     "line_list_item": predicate(T.list_marker, "item"),
     "line_signature": predicate(T.norm_running, "signature"),
-    "line_degenerate": predicate(T.is_degenerate, "degenerate"),
     "joined_lines": joined_lines,
     "html_strip": html_strip,
     "html_to_text": html_to_text,

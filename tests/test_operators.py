@@ -37,7 +37,7 @@ def test_line_predicates(spark):
     assert texts(spark, T.is_page_number, ["12", "- xiv -", "page 3", "12345", "", " [12] ", "(...)", "1234567890123"]) == [True, True, False, True, False, True, False, False]
     assert texts(spark, T.list_marker, ["• one", "1. two", "a) three", "IV. four", "- five", "six"]) == ["one", "two", "three", "four", None, None]
     assert texts(spark, T.norm_running, ["The  Life, 12", "— 3 —"]) == ["the life", ""]
-    assert texts(spark, T.is_degenerate, ["no no no no", "a b c d", None, "x"]) == [True, False, False, False]
+    assert texts(spark, T.is_lone_token, ["no no no no", "a b", None, "x", "1,234.5", " 12 "]) == [False, False, True, True, True, True]
     assert texts(spark, lambda c: T.has_unexpected_script(c, ["fr", "el"]), ["ок да", "λόγος", "français", "я", None]) == [True, False, False, False, False]
     assert texts(spark, lambda c: T.has_unexpected_script(c, ["auto"]), ["ок да"]) == [False]
 
