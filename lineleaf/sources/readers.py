@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import layer_bytes
@@ -110,32 +110,83 @@ def tiff_strip(data: bytes) -> bytes:
     return data[found[273] : found[273] + found[279]]
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows with their place from 0 in the order; sorted by ranges, so that no task sees all of them.
+
+    The sorted rows are checkpointed: a range that is computed again must not be cut elsewhere.
+    """
+    from ..operators.relational import ensure_checkpoints
+
+    ensure_checkpoints(df.sparkSession)
+    x = df.sort(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = x.groupBy(part).agg(F.count("*").alias("_n"))  # one row a partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return x.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within).drop("_at", "_part", "_before")
+
+
 def image_files(spark: SparkSession, path: str, default_dpi: float = DEFAULT_DPI, force: bool = False) -> DataFrame:
-    """Files of a folder with their resolution, numbered by name in small letters; the bytes stay undecoded."""
+    """Files of a folder with their resolution, numbered by name in small letters, then path; the bytes stay undecoded."""
     ship_package(spark)
     dpi = F.pandas_udf(lambda s: s.map(embedded_dpi), "double")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     chosen = F.lit(default_dpi) if force else F.coalesce(dpi("content"), F.lit(default_dpi))
-    return files.select("path", name.alias("name"), "length", chosen.alias("dpi"), "content")
+    numbers = numbered(files.select("path", name.alias("name")), ["name", "path"])
+    return files.select("path", "length", chosen.alias("dpi"), "content").join(numbers, "path").select("number", "path", "name", "length", "dpi", "content")
 
 
 def pages_of(files: DataFrame) -> DataFrame:
-    """Decoded pages; what can't be decoded is left out. PNG by the package itself, other formats by Spark's image source."""
+    """Decoded PNG pages by number; files that are no PNG or broken are left out, ``undecoded`` names them."""
     ship_package(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
-                try:
-                    a = png_pixels(r.content)
-                except (ValueError, zlib.error, struct.error, TypeError):
-                    continue
-                rows.append((zlib.crc32(r.path.encode()), "", a.tobytes(), *a.shape[:2], 1 if a.ndim == 2 else 3, r.dpi, "{}"))
+                if isinstance(a := png_or_reason(r.content), np.ndarray):
+                    rows.append((r.number, "", a.tobytes(), *a.shape[:2], 1 if a.ndim == 2 else 3, r.dpi, "{}"))
+            yield pd.DataFrame(rows, columns=["page", "branch", "pixels", "height", "width", "channels", "dpi", "meta"])
+
+    return files.select("number", "dpi", "content").mapInPandas(run, PAGES)
+
+
+def png_or_reason(content: bytes) -> np.ndarray | str:
+    try:
+        return png_pixels(content)
+    except (ValueError, zlib.error, struct.error, TypeError) as error:
+        return str(error) or type(error).__name__
+
+
+def undecoded(files: DataFrame) -> DataFrame:
+    """Files that ``pages_of`` leaves out, and why."""
+    ship_package(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = f.assign(reason=f["content"].map(lambda c: None if isinstance(x := png_or_reason(c), np.ndarray) else x))
+            yield found.loc[found["reason"].notna(), ["number", "path", "reason"]]
+
+    return files.select("number", "path", "content").mapInPandas(run, "number long, path string, reason string")
+
+
+def decoded_images(spark: SparkSession, path: str, default_dpi: float = DEFAULT_DPI, force: bool = False) -> DataFrame:
+    """Pages of all formats that Spark's image source reads (PNG, JPEG, GIF, BMP), numbered like ``image_files``."""
+    files = image_files(spark, path, default_dpi, force).select("number", "dpi", F.regexp_replace("path", "^file:/+", "file:/").alias("_path"))
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path).select("image.*")
+    found = images.withColumn("_path", F.regexp_replace("origin", "^file:/+", "file:/")).join(files, "_path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                a = a[:, :, 0] if r.nChannels == 1 else a[:, :, 2::-1]  # blue comes first, opacity goes
+                rows.append((r.number, "", a.tobytes(), *a.shape[:2], 1 if a.ndim == 2 else 3, r.dpi, "{}"))
             yield pd.DataFrame(rows, columns=["page", "branch", "pixels", "height", "width", "channels", "dpi", "meta"])
 
-    return files.select("path", "dpi", "content").mapInPandas(run, PAGES)
+    return found.select("number", "dpi", "height", "width", "nChannels", "data").mapInPandas(run, PAGES)
 
 
 PAGE_ROWS = "index int, file string, w int, h int"
