@@ -59,6 +59,36 @@ def left_runs(df: DataFrame, keys: list[str], place: str, left: str, tolerance:
     return df.where(F.col(left).isNotNull()).select(*keys, place, left).groupBy(*keys).applyInPandas(run, schema)
 
 
+def anchors(df: DataFrame, keys: list[str], place: str, left: str, right: str, tolerance: float = 0.06) -> DataFrame:
+    """Which lines of a page start at its left margin, end at its right one, or both: at_left, at_right, full.
+
+    The margins are medians over the widest lines (40 %, three at least; of equal ones the first by place), the
+    tolerance is a share of their median width. Pages of fewer than three lines are all anchors.
+    """
+    page = Window.partitionBy(*keys)
+    width = F.col(right) - F.col(left)
+    x = df.withColumn("_w", width).withColumn("_n", F.count("*").over(page))
+    x = x.withColumn("_k", F.row_number().over(page.orderBy(F.desc("_w"), place)))
+    seed = lambda c: F.median(F.when(F.col("_k") <= F.greatest(F.lit(3), F.floor(F.col("_n") * 0.4)), c)).over(page)
+    few, reach = F.col("_n") < 3, seed(F.col("_w")) * tolerance
+    x = x.withColumn("at_left", few | (F.abs(F.col(left) - seed(F.col(left))) <= reach))
+    x = x.withColumn("at_right", few | (F.abs(F.col(right) - seed(F.col(right))) <= reach))
+    return x.withColumn("full", F.col("at_left") & F.col("at_right")).drop("_w", "_n", "_k")
+
+
+def pitch_vanishing_point(ys: np.ndarray, index: np.ndarray | None = None, x: float = 0.0) -> np.ndarray | None:
+    """Where lines that are evenly spaced on the page crowd together: the pole of the map from height to line number.
+
+    None with fewer than four lines, or when they are evenly spaced in the picture too.
+    """
+    ys = np.asarray(ys, float).ravel()
+    index = np.arange(len(ys), dtype=float) if index is None else np.asarray(index, float).ravel()
+    if len(ys) < 4:
+        return None
+    pole = np.linalg.lstsq(np.stack([ys, np.ones(len(ys)), -index * ys], 1), index, rcond=None)[0][2]
+    return None if abs(pole) < 1e-10 else np.array([x, -1 / pole, 1.0])
+
+
 def assembled(dims: DataFrame, answers: DataFrame, key: str, place: str, sent: Column, width: str, height: str, markdown: str) -> DataFrame:
     """Each page that was sent with the answer of its place; pages from place ``sent`` on were cut off and say so.
 

@@ -7,6 +7,7 @@ coefficients and the twist of the other profiles. Image points are in units of h
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -267,6 +268,34 @@ def fit(
     return p, best
 
 
+def fewer_spans(ys: np.ndarray, sizes: np.ndarray, most_spans: int, most_points: int) -> list[int] | None:
+    """Spans that stay when there are too many: the one of the least points times the gap it would leave goes, again and again.
+
+    The first and the last stay; None when that isn't enough. Of equal ones the first goes.
+    """
+    n, points = len(ys), int(np.sum(sizes))
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    worth = lambda i: float(sizes[i]) * abs(float(ys[after[i]]) - float(ys[before[i]]))
+    now = {i: worth(i) for i in range(1, n - 1)}
+    heap = [(v, i) for i, v in now.items()]
+    heapq.heapify(heap)
+    left = n
+    while left > most_spans or points > most_points:
+        if not heap:
+            return None
+        value, i = heapq.heappop(heap)
+        if now.get(i) != value:
+            continue
+        del now[i]
+        left, points = left - 1, points - int(sizes[i])
+        after[before[i]], before[after[i]] = after[i], before[i]
+        for j in (before[i], after[i]):
+            if j in now:
+                now[j] = worth(j)
+                heapq.heappush(heap, (now[j], j))
+    return [0, *sorted(now), n - 1] if n > 1 else list(range(n))
+
+
 def sample_grid(sheet: Sheet, params: np.ndarray, size: tuple[float, float], shape: tuple[int, int], focal: float = FOCAL) -> np.ndarray:
     """Image points, rows by columns by 2, of a grid that is even along the paper itself."""
     rows, columns = shape

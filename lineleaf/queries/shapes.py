@@ -119,6 +119,12 @@ def left_margin_runs(s, d):
     return A.left_runs(boxes(s, d).select("l_orderkey", place.cast("long").alias("place"), "left"), ["l_orderkey"], "place", "left", 5000.0)
 
 
+def margin_anchors(s, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "left", "right")).alias("place")
+    x = boxes(s, d).select("l_orderkey", place, "left", (F.col("right") + 40_000).alias("right"))
+    return A.anchors(x, ["l_orderkey"], "place", "left", "right", 0.3).select("l_orderkey", "place", "at_left", "at_right", "full")
+
+
 def outer_edges(s, d):
     x = load(s, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
     edge = lambda sign: F.round(P.outer_edge(F.col("x"), F.col("y"), F.lit(0.5), sign), 4)
@@ -183,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_tree, typed_blocks, origin_markers, engine_tags, notes_in_order, whole_pages, step_log, layer_strings, box_baselines,
-        crossings, rectifications, aspects, justified_lines, left_margin_runs, outer_edges, assembled_answers, sheet_heights, sheet_fits,
+        crossings, rectifications, aspects, justified_lines, left_margin_runs, margin_anchors, outer_edges, assembled_answers, sheet_heights, sheet_fits,
         pdf_round_trip,
     )
 }
@@ -223,6 +229,9 @@ ORACLE_SQL = {
       f as (select *, case when abs(g * h) >= 1e-9 and -(ux * vx + uy * vy) / (g * h) > 0 then -(ux * vx + uy * vy) / (g * h) end as f2 from v)
       select p_partkey, round(sqrt(((ux * ux + uy * uy) / f2 + g * g) / ((vx * vx + vy * vy) / f2 + h * h)), 4) as aspect, round(sqrt(f2), 2) as focal from f""",
     "justified_lines": f"select l_suppkey, count(*) as n, count(*) filter (where a.l is not null and c.r is not null) as justified from {BOXES} b left join {supported('l')} a using (l_suppkey, l) left join {supported('r')} c using (l_suppkey, r) group by 1",
+    "margin_anchors": """with b as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l, r) as place, count(*) over (partition by l_orderkey) as n from (select l_orderkey, l_linenumber, floor(l_extendedprice)::bigint as l, floor(l_extendedprice)::bigint + l_partkey % 97 as r from lineitem)),
+      w as (select *, row_number() over (partition by l_orderkey order by r - l desc, place) as k from b), m as (select l_orderkey, median(l) as ml, median(r) as mr, median(r - l + 40000) as mw from w where k <= greatest(3, floor(n * 0.4)) group by 1)
+      select l_orderkey, place::int as place, n < 3 or abs(l - ml) <= 0.3 * mw as at_left, n < 3 or abs(r - mr) <= 0.3 * mw as at_right, n < 3 or (abs(l - ml) <= 0.3 * mw and abs(r - mr) <= 0.3 * mw) as full from b join m using (l_orderkey)""",
     "outer_edges": "select l_suppkey, round(quantile_cont(l_extendedprice - 0.5 * l_quantity, 0.98) + 2, 4) as right, round(quantile_cont(l_extendedprice - 0.5 * l_quantity, 0.02) - 2, 4) as left from lineitem group by 1",
     "assembled_answers": "select conv_id, turn, any_value(turn * 100) as w, 50 as h, case when turn < 3 then case when turn = 1 then '' else any_value(role) end end as said, turn >= 3 as truncated from conversations group by conv_id, turn",
     "sheet_heights": """select p_partkey, round((1 + 0.5 * (p_size / 50.0 - 0.5)) * (0.2 * sin(t) - 0.1 * sin(2 * t) + 0.05 * sin(3 * t)), 6) + 0.0 as z,

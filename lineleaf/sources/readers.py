@@ -222,10 +222,24 @@ def write_markdown(documents: DataFrame, path: str, key: str, text: str = "markd
     documents.select(F.col(key).alias("document"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("document").text(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
-    """A slim catalogue: each table beside the others."""
+def write_snapshot(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """A slim catalogue: each table beside the others; rows written by table."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return {name: df.sparkSession.read.parquet(f"{folder}/{name}.parquet").count() for name, df in tables.items()}
+
+
+def write_slim(nodes: DataFrame, keep: DataFrame, images: DataFrame, others: dict[str, DataFrame], folder: str) -> dict[str, tuple[int, int]]:
+    """A catalogue with only the kept nodes (id, parent_id, root_id, image_id) and the images they use; rows before and after.
+
+    Written to a folder of its own: to slim a catalogue in place, put the folder where the old one was.
+    """
+    from ..operators.relational import prune
+
+    kept = prune(nodes, keep, "id", "parent_id", "root_id")
+    used = images.join(kept.select("image_id").distinct(), "image_id", "left_semi")
+    after = write_snapshot({"nodes": kept, "images": used, **others}, folder)
+    return {name: (df.count(), after[name]) for name, df in {"nodes": nodes, "images": images, **others}.items()}
 
 
 def pdf_text_lines(lines: DataFrame, page_h: Column, dpi: Column) -> DataFrame:

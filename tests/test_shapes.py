@@ -133,3 +133,43 @@ def test_settings_by_precedence():
     assert settings.complement_engine("unknown", ["a", "surya"], env={}) == "surya" and settings.complement_engine(None, [], env={}) == "none"
     assert settings.page_workers(16, 6.0) == 3 and settings.page_workers(1, None) == 1
     assert settings.model_slots(24_000, 0.85) == 8 and settings.model_slots(8_000, 0.85) == 3 and settings.model_slots(None, 0.85) == 1
+
+
+def slow_fewer(ys, sizes, most_spans, most_points):
+    kept = list(range(len(ys)))
+    while len(kept) > most_spans or sum(sizes[i] for i in kept) > most_points:
+        inner = kept[1:-1]
+        if not inner:
+            return None
+        kept.remove(min(inner, key=lambda i: (sizes[i] * abs(ys[kept[kept.index(i) + 1]] - ys[kept[kept.index(i) - 1]]), i)))
+    return kept
+
+
+def test_fewer_spans_equal_the_slow_way():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(r.integers(2, 14))
+        ys, sizes = np.sort(r.integers(0, 30, n)).tolist(), r.integers(1, 6, n).tolist()
+        limits = int(r.integers(1, 14)), int(r.integers(1, 50))
+        assert S.fewer_spans(ys, sizes, *limits) == slow_fewer(ys, sizes, *limits)
+
+
+def test_pitch_has_its_pole():
+    index = np.arange(8.0)
+    ys = (2 + 3 * index) / (1 + 0.05 * index)  # crowds at 60
+    assert np.allclose(A.pitch_vanishing_point(ys, x=5.0), [5, 60, 1])
+    assert A.pitch_vanishing_point(ys[:3]) is None and A.pitch_vanishing_point(4 * index) is None
+
+
+def test_scaled_pages_and_slim_catalogue(spark, tmp_path):
+    from lineleaf.operators import kernels as K
+    from lineleaf.sources import readers
+
+    rows = [(1, "", bytes(range(12)), 3, 4, 1, 72.0, "{}"), (2, "", bytes(12), 2, 2, 3, 72.0, "{}")]
+    got = K.scaled_pages(spark.createDataFrame(rows, K.PAGES), spark.createDataFrame([(1, 2.0)], "page long, scale double")).orderBy("page").collect()
+    assert [(r.width, len(r.pixels)) for r in got] == [(8, 24), (2, 12)]
+    nodes = spark.createDataFrame([(1, None, 1, 7), (2, 1, 1, 8), (3, 2, 1, 9)], "id long, parent_id long, root_id long, image_id long")
+    images = spark.createDataFrame([(7,), (8,), (9,)], "image_id long")
+    counts = readers.write_slim(nodes, nodes.where("id <> 2"), images, {}, str(tmp_path))
+    assert counts == {"nodes": (3, 2), "images": (3, 2)}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/nodes.parquet").select("id", "parent_id").orderBy("id").collect()] == [(1, None), (3, 1)]
