@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +48,11 @@ def margin_runs(values: np.ndarray, tolerance: float) -> np.ndarray:
 def left_runs(df: DataFrame, keys: list[str], place: str, left: str, tolerance: float) -> DataFrame:
     """Lines of a block (rows of a key, by place) with the number of the left margin that they share; a block fits a task."""
     ship_package(df.sparkSession)
-    types = {c: df.schema[c].dataType.simpleString() for c in (*keys, place)}
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(place)
-        return block[[*keys, place]].assign(run=margin_runs(block[left].to_numpy(), tolerance))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", run long"
-    return df.where(F.col(left).isNotNull()).select(*keys, place, left).groupBy(*keys).applyInPandas(run, schema)
+    runs = F.pandas_udf(lambda blocks: blocks.map(lambda x: margin_runs(x, tolerance)), "array<long>")
+    block = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(left).cast("double").alias("x"))))
+    x = df.where(F.col(left).isNotNull()).groupBy(*keys).agg(block.alias("_b"))
+    x = x.select(*keys, "_b", runs(F.transform("_b", lambda v: v["x"])).alias("_r"))
+    return x.select(*keys, F.inline(F.zip_with("_b", "_r", lambda v, r: F.struct(v["p"].alias(place), r.alias("run")))))
 
 
 def anchors(df: DataFrame, keys: list[str], place: str, left: str, right: str, tolerance: float = 0.06) -> DataFrame:

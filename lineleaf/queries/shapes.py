@@ -174,10 +174,10 @@ def sheet_fits(s, d):
 
 
 def pdf_round_trip(s, d):
-    """Every order as a file of one page a line; pages and dark pixels are read back."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")).alias("page")
+    """Every supplier as a file of one page a line; pages and dark pixels are read back."""
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("page")
     dark = F.repeat(F.lit("\0"), F.floor("l_quantity").cast("int"))
-    x = load(s, d, "lineitem").select(F.col("l_orderkey").alias("document"), place, F.rpad(dark, 64, "~").cast("binary").alias("pixels"))
+    x = load(s, d, "lineitem").select(F.col("l_suppkey").alias("document"), place, F.rpad(dark, 64, "~").cast("binary").alias("pixels"))
     pages = x.select("*", F.lit(4).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"), F.lit(144.0).alias("dpi"))
     texts = x.select("document", "page", F.lit(2.0).alias("size"), F.lit(1.0).alias("x"), F.lit(0.5).alias("y"), L.layer_bytes(F.concat(F.lit("endobj ("), F.col("page").cast("string"))).alias("layer"))
     found = D.pdf_images(D.document_pdfs(pages, texts))
@@ -236,6 +236,6 @@ ORACLE_SQL = {
     "assembled_answers": "select conv_id, turn, any_value(turn * 100) as w, 50 as h, case when turn < 3 then case when turn = 1 then '' else any_value(role) end end as said, turn >= 3 as truncated from conversations group by conv_id, turn",
     "sheet_heights": """select p_partkey, round((1 + 0.5 * (p_size / 50.0 - 0.5)) * (0.2 * sin(t) - 0.1 * sin(2 * t) + 0.05 * sin(3 * t)), 6) + 0.0 as z,
       round((0.2 * cos(t) - 0.2 * cos(2 * t) + 0.15 * cos(3 * t)) * pi() / 100, 6) + 0.0 as slope from (select *, (p_partkey % 97) * pi() / 100 as t from part)""",
-    "pdf_round_trip": "select l_orderkey as document, count(*) as pages, sum(floor(l_quantity))::bigint as dark, count(*) - 1 as last, 144.0::double as dpi from lineitem group by 1",
+    "pdf_round_trip": "select l_suppkey as document, count(*) as pages, sum(floor(l_quantity))::bigint as dark, count(*) - 1 as last, 144.0::double as dpi from lineitem group by 1",
     "sheet_fits": "select s_suppkey as key, true as found from supplier",
 }

@@ -173,3 +173,11 @@ def test_scaled_pages_and_slim_catalogue(spark, tmp_path):
     counts = readers.write_slim(nodes, nodes.where("id <> 2"), images, {}, str(tmp_path))
     assert counts == {"nodes": (3, 2), "images": (3, 2)}
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/nodes.parquet").select("id", "parent_id").orderBy("id").collect()] == [(1, None), (3, 1)]
+
+
+def test_left_runs_of_blocks(spark):
+    rows = [(1, 3, 50.0), (1, 1, 10.0), (1, 2, 11.0), (1, 4, 12.0), (1, 5, None), (2, 1, 7.0)]
+    df = spark.createDataFrame(rows, "block long, line long, x double")
+    got = A.left_runs(df, ["block"], "line", "x", 3.0)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 0), (2, 1, 0)]
+    assert A.left_runs(df.where("block > 5"), ["block"], "line", "x", 3.0).count() == 0
